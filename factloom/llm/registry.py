@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import importlib.util
-
-from . import bpe, sharding
+from . import bpe, packing, sharding, toxicity
 
 
 def queries():
     return {
+        "op1_hierarchical_packing": packing.op1_hierarchical_packing,
         "op3_bounded_ring": sharding.op3_bounded_ring,
+        "op9_zstd_toxicity": toxicity.op9_zstd_toxicity,
         "op10_segment_tree_bpe": bpe.op10_segment_tree_bpe,
     }
 
