@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding, toxicity
+from . import bpe, chat, packing, sharding, toxicity, vectors
 
 
 def queries():
     return {
         "op1_hierarchical_packing": packing.op1_hierarchical_packing,
         "op3_bounded_ring": sharding.op3_bounded_ring,
+        "op4_event_chat": chat.op4_event_chat,
+        "op7_bit_sliced_topk": vectors.op7_bit_sliced_topk,
+        "op8_cover_tree_dedup": vectors.op8_cover_tree_dedup,
         "op9_zstd_toxicity": toxicity.op9_zstd_toxicity,
         "op10_segment_tree_bpe": bpe.op10_segment_tree_bpe,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_event_chat": chat.OP4_SQL, "op7_bit_sliced_topk": vectors.OP7_SQL}
