@@ -5,7 +5,7 @@ each, set in a fixed carrier, are compressed with the ordinary dictionary and wi
 toxic dictionary saves are the window's distance. A document's score is a calibrated function of how often and how
 strongly its windows are nearer to toxic text.
 
-Fitting: at most FIT_ROWS labelled rows, those with the smallest hash of their text, taken alike at every size. Near
+Fitting: at most FIT_ROWS labelled rows, those with the smallest hash of their id, taken alike at every size. Near
 copies count once among them. Everything else covers whole texts of all documents.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, tune
 
 #: Bound of the labelled rows a model is fitted on, and of the characters taken from each.
-FIT_ROWS, FIT_CHARS = 12_000, 20_000
+FIT_ROWS, FIT_CHARS = 12_000, 8_000
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL, WINDOW_BYTES = 8192, 2048, 3, 64
 #: Follows each window, as no match may start in the last bytes of an input. Long enough for the block to be stored compressed whatever the window holds.
 CARRIER = b"#0!1$2%3&4(5)6*7+8/9:<;=>?@[]^_`{|}~#!$%&()*+/"
@@ -146,8 +146,9 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most FIT_ROWS rows of docs that have a label and aren't held out."""
     labelled = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     labelled = labelled.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("text")).join(labelled, "doc_id")
-    rows = rows.orderBy(F.xxhash64("text"), "doc_id").limit(FIT_ROWS).select("text", "toxic").toPandas()
+    chosen = F.broadcast(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS))  # bounded by FIT_ROWS
+    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("text")).join(chosen, "doc_id")
+    rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text", "toxic"])
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
