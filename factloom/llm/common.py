@@ -52,7 +52,7 @@ def stash(df: DataFrame) -> DataFrame:
 
 def scan_bytes(df: DataFrame) -> int:
     """Spark's estimate of the input's size, without a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def components(edges: DataFrame) -> DataFrame:

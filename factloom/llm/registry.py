@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, sharding, toxicity, vectors
+from . import bpe, chat, lm, packing, sharding, toxicity, vectors
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_hierarchical_packing": packing.op1_hierarchical_packing,
         "op3_bounded_ring": sharding.op3_bounded_ring,
         "op4_event_chat": chat.op4_event_chat,
+        "op5_kneser_ney": lm.op5_kneser_ney,
         "op7_bit_sliced_topk": vectors.op7_bit_sliced_topk,
         "op8_cover_tree_dedup": vectors.op8_cover_tree_dedup,
         "op9_zstd_toxicity": toxicity.op9_zstd_toxicity,
