@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, packing, sharding, toxicity, vectors
+from . import bpe, chat, lm, near, packing, sharding, toxicity, vectors
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op3_bounded_ring": sharding.op3_bounded_ring,
         "op4_event_chat": chat.op4_event_chat,
         "op5_kneser_ney": lm.op5_kneser_ney,
+        "op6_token_group_join": near.op6_token_group_join,
         "op7_bit_sliced_topk": vectors.op7_bit_sliced_topk,
         "op8_cover_tree_dedup": vectors.op8_cover_tree_dedup,
         "op9_zstd_toxicity": toxicity.op9_zstd_toxicity,
