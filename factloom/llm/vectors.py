@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import components, stash, table
 
 #: Bits of a quantised attribute and of a query's weight in the index; rows of one block, and queries of one block.
-ATTRIBUTE_BITS, WEIGHT_BITS, BLOCK_ROWS, BLOCK_QUERIES = 6, 5, 8192, 4096
+ATTRIBUTE_BITS, WEIGHT_BITS, BLOCK_ROWS, BLOCK_QUERIES = 6, 5, 4096, 4096
 #: Quantised components are clamped to this, so that integer products can't overflow.
 CLAMP = 1 << 24
 #: Vectors of one cover tree.
@@ -147,7 +147,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     queries = rows.where(F.col("vec_id") % every == 0)
     left = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     right = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(qblocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["rb", F.col("qb").cast("long").alias("qb")]
+    key = [F.col(c).cast("int").alias(c) for c in ("rb", "qb")]  # of one type on both sides, or they are dealt differently
     left, right = left.select(*key, "vec_id", "v"), right.select(*key, "vec_id", "v")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
