@@ -28,9 +28,10 @@ WINDOW, TIERS = 1024, (128, 256, 512, 1024)
 #: Tokens that one step of training takes; the sequences of a batch are dealt to steps of about this size.
 STEP_TOKENS = 16 * WINDOW
 #: Entries of a worker's cache of encoded units; it is emptied when full.
-CACHE = 200_000
-#: Before a single space between two characters that aren't white space, the splitter of a byte-level tokenizer always cuts.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+CACHE = 600_000
+#: The splitter of a byte-level tokenizer always cuts before a single space between two characters that aren't white
+#: space, and between a letter and a mark that isn't part of a contraction.
+_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[a-z])(?=[.,;:!?])")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long"
