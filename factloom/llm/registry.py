@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, near, packing, sharding, toxicity, vectors
+from . import bpe, chat, lm, near, packing, sharding, suffix, toxicity, vectors
 
 
 def queries():
     return {
         "op1_hierarchical_packing": packing.op1_hierarchical_packing,
+        "op2_suffix_dedup": suffix.op2_suffix_dedup,
         "op3_bounded_ring": sharding.op3_bounded_ring,
         "op4_event_chat": chat.op4_event_chat,
         "op5_kneser_ney": lm.op5_kneser_ney,
