@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by strings of 50 bytes that a smaller id has go from the texts; characters cut through go whole."""
-    marked = suffix.with_spans(docs)
+    marked, columns = suffix.with_spans(docs), docs.columns
 
     def run(batches):
         for b in batches:
@@ -44,11 +44,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             texts = []
             for t, s in zip(b.column(k).to_pylist(), spans):
                 texts.append(suffix.cut_spans(t.encode(), s)[0].decode(errors="ignore") if t and s else t)
-            cols = {n: b.column(n) for n in docs.columns} | {"text": pa.array(texts, pa.string())}
+            cols = {n: b.column(n) for n in columns} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
                 n = [len(t) if s else m for t, s, m in zip(texts, spans, cols["n_chars"].to_pylist())]
                 cols["n_chars"] = pa.array(n, b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([cols[c] for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([cols[c] for c in columns], columns)
 
     return marked.mapInArrow(run, docs.schema)
 
