@@ -1,9 +1,13 @@
 """All queries of the library proper, and their SQL twins."""
 
+from . import text_plans
+
+_PLANS = (text_plans,)
+
 
 def queries():
-    return {}
+    return {k: f for p in _PLANS for k, f in p.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for p in _PLANS for k, s in p.SQL.items()}
