@@ -27,7 +27,9 @@ from .tokens import mix
 
 MIN, K = 50, 12
 #: Bytes that a task looks at together, and input bytes for each bucket of segments.
-CHUNK, BUCKET_BYTES = 3 << 20, 4 << 20
+CHUNK, BUCKET_BYTES = 3 << 19, 4 << 20
+#: Bytes of one transform: a bucket's segments are dealt to as many as they need, again by minimizer.
+TRANSFORM = 1 << 20
 LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 22) - 1)
 
@@ -169,9 +171,17 @@ def meet(buf: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndar
         low, high = np.minimum.reduceat(doc[owner], first), np.maximum.reduceat(doc[owner], first)
         found[owner[np.repeat(low != high, np.diff(np.append(first, len(keys))))]] = True
     c = np.flatnonzero(found)
+    parts = -(-int(length[c].sum()) // TRANSFORM)
+    if not parts:
+        return (np.zeros(0, np.int64),) * 4
+    deal = (mark[c] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return tuple(np.concatenate(x) for x in zip(*[_expand(buf, start, length, doc, key, pos, c[deal == np.uint64(k)], least) for k in range(parts)]))
+
+
+def _expand(buf, start, length, doc, key, pos, c, least):
+    """Removed stretches among the segments c."""
     if not len(c):
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return (np.zeros(0, np.int64),) * 4
     # equal segments: all but those of the smallest document go whole
     same = _span_hash(buf, start[c], length[c])
     order = np.lexsort((doc[c], same))
