@@ -4,7 +4,7 @@ Signatures. Sets whose sizes allow the similarity fall into the same or the next
 level the token space is cut by hash into one part more than the number of tokens in which two linked sets can differ,
 so linked sets agree in a whole part. A set's signatures are the hashes of its parts; sets that share one are a group.
 
-Groups. In a first round every set is compared with the centres it shares most signatures with, which joins most
+Groups. In a first round every set is compared with the centre it shares most signatures with, which joins most
 similar documents. The components so found are the matrix's groups: where a signature still spans several of them, a
 task takes its sets, stores each group's union of tokens, bounds the overlap of each query with each union, and opens
 only groups that qualify. No pair of sets of one component is compared again, and none of the others is missed.
@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, scan_bytes, stash, table, tune
@@ -176,8 +176,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                         sets.append(s[ends[k] - n[k] : ends[k]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "tokens"])
 
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
-    return found.groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
 
 
 def _tokens(blob: bytes) -> np.ndarray:
@@ -248,19 +247,23 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     groups = stash(signature_groups(docs.where("doc_id is not null"), words, percent))
     sets = stash(sets_of(docs, groups.select("cid").distinct().join(reps, "cid").select("doc_id", "cid"), words))
 
-    # first round: each set against the two centres it shares most signatures with
+    # first round: each set against the centre it shares most signatures with, a block of sets with their centre a task
     shared = groups.where("cid <> centre").groupBy("cid", "centre").agg(F.count("*").alias("k"))
-    best = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("k"), "centre"))
-    pairs = shared.withColumn("r", best).where("r <= 2").select("cid", "centre")
-    pairs = pairs.join(sets.withColumnRenamed("tokens", "x"), "cid").join(sets.select(F.col("cid").alias("centre"), F.col("tokens").alias("y")), "centre")
-
-    def verify(batches):
-        for b in batches:
-            ok = [similar(_tokens(x), _tokens(y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            b = b.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
-
-    edges = stash(pairs.select("cid", "centre", "x", "y").mapInArrow(verify, "a long, b long"))
+    best = shared.groupBy("cid").agg(F.max_by("centre", F.struct("k", "centre")).alias("centre"))
+    sizes = best.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = best.join(sizes, "centre").select("cid", "centre", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("t"))
+    centres = sizes.select(F.col("centre").alias("cid"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+
+    def around(g: pd.DataFrame) -> pd.DataFrame:
+        own = g["cid"] == g["centre"]
+        if not own.any():
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        middle = _tokens(g["tokens"][own].iloc[0])
+        hit = [similar(_tokens(x), middle, percent) for x in g["tokens"]]
+        return pd.DataFrame({"a": g["cid"][hit], "b": g["centre"][hit]})
+
+    stars = members.unionByName(centres).join(sets, "cid")
+    edges = stash(stars.groupBy("centre", "t").applyInPandas(around, "a long, b long"))
     comp = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
 
     # second round: signatures that still span several components
