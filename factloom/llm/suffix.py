@@ -286,7 +286,7 @@ def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
             gone = order[doc[order] > low]
             rows = [(int(hash((d, t)) % buckets), True, d, t, s) for d, t, s in _spans(doc[gone], key[gone], pos[gone], pos[gone] + length[gone])]
             kept = np.sort(order[doc[order] == low])
-            b = ((h[kept] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            b = ((mix(h[kept]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # minimizers are small hashes
             o = np.argsort(b, kind="stable")
             kept, b = kept[o], b[o]
             edge = np.searchsorted(b, np.arange(buckets + 1))
