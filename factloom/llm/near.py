@@ -266,20 +266,29 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     edges = stash(stars.groupBy("centre", "t").applyInPandas(around, "a long, b long"))
     comp = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
 
-    # second round: signatures that still span several components
-    placed = groups.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = placed.join(open_, "sig").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("cid", "comp"))).alias("m"))
-    rest = stash(rest.groupBy("m").agg(F.min("sig").alias("sig")))
+    # second round: signatures that still span several components. Those that meet in them are a cluster, whose sets one
+    # task reads once; of a cluster that is too large for a task, each signature is taken by itself, block by block.
+    placed = groups.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("sig", "cid", "comp")
+    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "lo")
+    rest = stash(placed.join(open_, "sig"))
+    cluster = components(rest.select(F.col("comp").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    rest = rest.join(cluster, "comp").select("sig", "cid", "comp", "cluster")
+    sizes = rest.select("cluster", "cid").distinct().groupBy("cluster").agg(F.count("*").alias("n"))
+    rest = stash(rest.join(sizes, "cluster"))
+    none = F.lit(0)
+    small = rest.where(F.col("n") <= BLOCK).select(F.col("cluster").alias("key"), none.alias("t1"), none.alias("t2"), F.lit(False).alias("second"), "cid", "comp").distinct()
+    large = rest.where(F.col("n") > BLOCK).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("cid", "comp"))).alias("m"))
+    large = large.where(F.size(F.array_distinct("m.comp")) > 1).groupBy("m").agg(F.min("sig").alias("key"))
     blocks = F.ceil(F.size("m") / BLOCK).cast("int")
-    rest = rest.select("sig", blocks.alias("n"), F.posexplode("m").alias("i", "x"))
-    rest = rest.select("sig", F.floor(F.col("i") / BLOCK).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), "x.cid", "x.comp")
-    rest = rest.select("sig", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), (F.col("t") > F.col("o")).alias("second"), "cid", "comp")
+    large = large.select("key", blocks.alias("n"), F.posexplode("m").alias("i", "x"))
+    large = large.select("key", F.floor(F.col("i") / BLOCK).cast("int").alias("t"), F.explode(F.sequence(none, F.col("n") - 1)).alias("o"), "x.cid", "x.comp")
+    large = large.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), (F.col("t") > F.col("o")).alias("second"), "cid", "comp")
+    rest = small.unionByName(large)
 
     def task(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(g, percent), columns=["a", "b"]).astype("int64")
 
-    more = rest.join(sets, "cid").groupBy("sig", "t1", "t2").applyInPandas(task, "a long, b long")
+    more = rest.join(sets, "cid").groupBy("key", "t1", "t2").applyInPandas(task, "a long, b long")
     comp = components(edges.union(stash(more))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
     of = reps.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
