@@ -1,8 +1,8 @@
 """All queries of the library proper, and their SQL twins."""
 
-from . import text_plans
+from . import graph_plans, text_plans
 
-_PLANS = (text_plans,)
+_PLANS = (text_plans, graph_plans)
 
 
 def queries():
