@@ -46,12 +46,10 @@ def local_path(uri: str) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    release(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

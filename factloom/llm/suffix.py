@@ -22,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan_bytes, stash, table, tune
+from .common import release, scan_bytes, stash, table, tune
+from .lm import _pack, _unpack
 from .tokens import mix
 
 MIN, K = 50, 12
@@ -108,6 +109,14 @@ def _spans(doc: np.ndarray, key: np.ndarray, start: np.ndarray, stop: np.ndarray
     return [(int(doc[a[i]]), int(key[a[i]]), both[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(a)])]
 
 
+def _pack_spans(*columns: np.ndarray) -> bytes:
+    return _pack(*[np.diff(c.astype(np.int64), prepend=np.int64(0)) for c in columns])
+
+
+def _unpack_spans(blob: bytes) -> tuple[np.ndarray, ...]:
+    return tuple(np.cumsum(c) for c in _unpack(blob, "<i8", "<i8", "<i8", "<i8"))
+
+
 def classes(text: np.ndarray, least: int = MIN) -> tuple[np.ndarray, np.ndarray]:
     """Positions of text in suffix order, and for each the class of suffixes that share its first ``least`` bytes."""
     n = len(text)
@@ -264,12 +273,12 @@ def _chunks(batches, least: int):
 
 
 def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
-    """(doc, tkey, spans): for each document the stretches to remove, in several rows.
+    """(doc, tkey, spans): for each document that loses something the stretches to remove, merged.
 
     docs has doc (a number that orders documents), tkey (a hash of the text) and text.
     """
     buckets = max(12, -(-scan_bytes(docs) // BUCKET_BYTES))
-    names = ["bucket", "done", "doc", "tkey", "blob"]
+    names = ["bucket", "done", "blob"]
 
     def send(batches):
         z = zstandard.ZstdCompressor(level=3)
@@ -284,7 +293,7 @@ def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
             cut = np.concatenate([[True], same[order][1:] != same[order][:-1]])
             low = doc[order][np.flatnonzero(cut)][np.cumsum(cut) - 1]
             gone = order[doc[order] > low]
-            rows = [(int(hash((d, t)) % buckets), True, d, t, s) for d, t, s in _spans(doc[gone], key[gone], pos[gone], pos[gone] + length[gone])]
+            rows = [(int(meta[0, 1]) % buckets, True, _pack_spans(doc[gone], key[gone], pos[gone], pos[gone] + length[gone]))] if len(gone) else []
             kept = np.sort(order[doc[order] == low])
             b = ((mix(h[kept]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # minimizers are small hashes
             o = np.argsort(b, kind="stable")
@@ -301,9 +310,9 @@ def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
                 head = np.array([len(ids), len(x)], "<i8").tobytes() + meta[ids, 0].astype("<i8").tobytes() + meta[ids, 1].astype("<i8").tobytes()
                 numbers = [np.diff(of, prepend=0).astype("<u4"), pos[x].astype("<u8"), size.astype("u1"), offset[x].astype("u1"), twice[x].astype("u1")]
                 planes = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in numbers)
-                rows.append((i, False, 0, 0, z.compress(head + planes + buf[inside].tobytes())))
+                rows.append((i, False, z.compress(head + planes + buf[inside].tobytes())))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()))], names)
 
     def reduce(g: pd.DataFrame) -> pd.DataFrame:
         d = zstandard.ZstdDecompressor()
@@ -324,22 +333,31 @@ def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
             texts.append(raw[p:])
             parts.append((at + np.cumsum(size) - size, size, cols[3], cols[4] > 0, ids[:nd][of], ids[nd:][of], cols[1]))
             at += int(size.sum())
-        out = [(int(x), int(y), s) for x, y, s in zip(done["doc"], done["tkey"], done["blob"])]
+        found = [_unpack_spans(b) for b in done["blob"]]
         if parts:
             buf = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
-            out += _spans(*meet(buf, *[np.concatenate(c) for c in zip(*parts)], least=least, k=k))
-        return pd.DataFrame(out, columns=["doc", "tkey", "spans"])
+            found.append(meet(buf, *[np.concatenate(c) for c in zip(*parts)], least=least, k=k))
+        doc, key, start, stop = (np.concatenate(c) for c in zip(*found))
+        b = (mix(doc.view(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((start, key, doc, b))
+        edge = np.searchsorted(b[order], np.arange(buckets + 1))
+        rows = [(i, _pack_spans(*(c[order[edge[i] : edge[i + 1]]] for c in (doc, key, start, stop)))) for i in range(buckets) if edge[i + 1] > edge[i]]
+        return pd.DataFrame(rows, columns=["bucket", "blob"])
+
+    def gather(g: pd.DataFrame) -> pd.DataFrame:
+        rows = _spans(*(np.concatenate(c) for c in zip(*[_unpack_spans(b) for b in g["blob"]])))
+        return pd.DataFrame(rows, columns=["doc", "tkey", "spans"])
 
-    sent = docs.select("doc", "tkey", "text").mapInArrow(send, "bucket int, done boolean, doc long, tkey long, blob binary")
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(reduce, "doc long, tkey long, spans binary")
+    sent = docs.select("doc", "tkey", "text").mapInArrow(send, "bucket int, done boolean, blob binary")
+    found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(reduce, "bucket int, blob binary")
+    return found.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(gather, "doc long, tkey long, spans binary")
 
 
-def cut_spans(raw: bytes, blobs: list[bytes] | None) -> tuple[bytes, int, int]:
+def cut_spans(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     """What is left of a text, the number of bytes removed, and of maximal stretches removed."""
-    if not blobs:
+    if not spans:
         return raw, 0, 0
-    pairs = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs])
-    merged = np.frombuffer(_spans(*np.zeros((2, len(pairs)), np.int64), pairs[:, 0], pairs[:, 1])[0][2], "<i8").reshape(-1, 2)
+    merged = np.frombuffer(spans, "<i8").reshape(-1, 2)
     kept, at = [], 0
     for a, b in merged.tolist():
         kept.append(raw[at:a])
@@ -352,7 +370,8 @@ def with_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
     tune(docs.sparkSession)
     doc, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     spans = stash(removed_spans(docs.select(doc.alias("doc"), tkey.alias("tkey"), "text"), least, k))
-    spans = spans.groupBy("doc", "tkey").agg(F.collect_list("spans").alias("_spans")).select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), "_spans")
+    release(docs.sparkSession)
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans"))
     return docs.withColumn("_doc", doc).withColumn("_tkey", tkey).join(spans, ["_doc", "_tkey"], "left").drop("_doc", "_tkey")
 
 
