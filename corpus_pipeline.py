@@ -40,7 +40,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     def run(batches):
         for b in batches:
             k = b.schema.get_field_index("text")
-            spans = b.column(b.schema.get_field_index("_spans")).to_pylist()
+            spans = b.column(b.schema.get_field_index("__spans")).to_pylist()
             texts = []
             for t, s in zip(b.column(k).to_pylist(), spans):
                 texts.append(suffix.cut_spans(t.encode(), s)[0].decode(errors="ignore") if t and s else t)

@@ -366,13 +366,13 @@ def cut_spans(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
 
 
 def with_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
-    """docs (doc_id, text, ...) with the column _spans: stretches that also start in a document of smaller id."""
+    """docs (doc_id, text, ...) with the column __spans: stretches that also start in a document of smaller id."""
     tune(docs.sparkSession)
     doc, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     spans = stash(removed_spans(docs.select(doc.alias("doc"), tkey.alias("tkey"), "text"), least, k))
     release(docs.sparkSession)
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans"))
-    return docs.withColumn("_doc", doc).withColumn("_tkey", tkey).join(spans, ["_doc", "_tkey"], "left").drop("_doc", "_tkey")
+    spans = spans.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans"))
+    return docs.withColumn("__doc", doc).withColumn("__tkey", tkey).join(spans, ["__doc", "__tkey"], "left").drop("__doc", "__tkey")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -393,4 +393,4 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
