@@ -207,7 +207,7 @@ class CoverTree:
                 if b - a == 1:
                     below.append((centre, a, b))
                     continue
-                left, at, c = order[a:b], a, centre
+                left, at, c = order[a:b].copy(), a, centre
                 while len(left):
                     near = ((u[left] - u[c]) ** 2).sum(1) <= radius * radius
                     near |= left == c
