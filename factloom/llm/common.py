@@ -59,8 +59,9 @@ def release(spark: SparkSession) -> None:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the input's size, without a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Spark's estimate of the input's size, without a scan; where it has none, the bytes of the texts."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 55 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -116,12 +116,11 @@ def _meter(ordinary: bytes, toxic: bytes) -> Meter:
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Train both dictionaries and calibrate. With only one class, or no rows, every score is that class's share."""
+    """Train both dictionaries and calibrate. With fewer than two classes nothing is rejected: every score is a quarter."""
     toxic = _families([t for t, y in zip(texts, labels) if y == 1])
     plain = _families([t for t, y in zip(texts, labels) if y == 0])
-    share = (len(toxic) + 0.5) / (len(toxic) + len(plain) + 1)
     if not toxic or not plain:
-        return Model(b"", b"", np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0]))
+        return Model(b"", b"", np.array([np.log(1 / 3), 0.0, 0.0, 0.0, 0.0]))
     in_toxic, in_plain = (Counter(w for t in side for w in set(words(t))) for side in (toxic, plain))
     least = max(3, round(0.005 * len(toxic)))
     apart = sorted(w for w, n in in_toxic.items() if n >= least and n / len(toxic) >= 10 * (in_plain[w] + 0.5) / len(plain))
