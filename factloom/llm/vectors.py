@@ -282,16 +282,16 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, rows: int = TREE_ROWS)
     """
     df = df.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
     fit = usable("v") & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    classes = stash(df.where(fit).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    classes = stash(df.where(fit).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.xxhash64("label", "v")))
     per_label = classes.groupBy("label").agg(F.ceil(F.count("*") / rows).cast("int").alias("trees"))
     dealt = classes.join(per_label, "label").withColumn("t", F.pmod(F.xxhash64("v"), F.col("trees")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("o")
-    dealt = dealt.select("label", "rep", "copies", "v", "t", other)
-    dealt = dealt.select("label", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), (F.col("t") > F.col("o")).alias("second"), "rep", "copies", "v")
+    dealt = dealt.select("label", "cls", "copies", "v", "t", other)
+    dealt = dealt.select("label", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), (F.col("t") > F.col("o")).alias("second"), "cls", "copies", "v")
 
     def traverse(g: pd.DataFrame) -> pd.DataFrame:
         out = []
-        g = g.sort_values("rep", kind="stable").reset_index(drop=True)
+        g = g.sort_values("cls", kind="stable").reset_index(drop=True)
         width = g["v"].map(len)
         for w in sorted(set(width)):
             part = g[width == w].reset_index(drop=True)
@@ -313,16 +313,17 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, rows: int = TREE_ROWS)
             links = np.bincount(a, copies[b], len(part)) + (np.bincount(b, copies[a], len(part)) if two is not one else 0)
             root = local_roots(len(part), a, b)
             hit = np.flatnonzero(links)
-            out.append(pd.DataFrame({"rep": part["rep"].to_numpy()[hit], "links": links[hit].astype("int64"), "root": part["rep"].to_numpy()[root[hit]]}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+            out.append(pd.DataFrame({"cls": part["cls"].to_numpy()[hit], "links": links[hit].astype("int64"), "root": part["cls"].to_numpy()[root[hit]]}))
+        return pd.concat(out) if out else pd.DataFrame({"cls": [], "links": [], "root": []}).astype("int64")
 
-    pairs = dealt.groupBy("label", "t1", "t2").applyInPandas(traverse, "rep long, links long, root long")
+    pairs = dealt.groupBy("label", "t1", "t2").applyInPandas(traverse, "cls long, links long, root long")
     found = stash(pairs)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    of_class = classes.join(links, "rep", "left").join(comp, "rep", "left")
-    of_class = of_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = df.where(fit).join(of_class, ["label", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    comp = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+    of_class = classes.join(links, "cls", "left").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = of_class.join(least, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = df.where(fit).join(of_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = df.where(~F.coalesce(fit, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
