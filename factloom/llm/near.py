@@ -1,8 +1,8 @@
 """N-gram Jaccard join through a token-group matrix, exact at every size.
 
 Signatures. Sets whose sizes allow the similarity fall into the same or the next of a series of size levels. At each
-level the token space is cut by hash into one part more than the number of tokens in which two linked sets can differ,
-so linked sets agree in a whole part. A set's signatures are the hashes of its parts; sets that share one are a group.
+level the token space is cut by hash into more parts than the number of tokens in which two linked sets can differ, so
+linked sets agree in a whole part. A set's signatures are the hashes of its parts; sets that share one are a group.
 
 Groups. In a first round every set is compared with the centre it shares most signatures with, which joins most
 similar documents. The components so found are the matrix's groups: where a signature still spans several of them, a
@@ -61,20 +61,25 @@ def class_ids(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def levels(percent: int, most: int = 1 << 33) -> tuple[np.ndarray, np.ndarray]:
-    """The least size of each level, and its number of parts."""
-    low, parts, at = [], [], 1
+def levels(percent: int, most: int = 1 << 33) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least size of each level, the tokens in which two linked sets can differ, and its number of parts."""
+    low, differ, at = [], [], 1
     while at < most:
         top = at * 100 // percent
         low.append(at)
-        parts.append((100 - percent) * top // percent + 1)
+        differ.append((100 - percent) * top // percent)
         at = top + 1
-    return np.array(low), np.array(parts)
+    d = np.array(differ)
+    return np.array(low), d, np.where(d > 0, (11 * (d + 1) + 9) // 10, 1)
 
 
 def signatures(s: np.ndarray, n: np.ndarray, cid: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, id) of every set at its own level and the one below. A part without tokens has a signature too."""
-    low, parts = levels(percent)
+    """(signature, id) of every set at its own level and the one below.
+
+    A set that has tokens in more parts than linked sets can differ in shares one of those with each set it is linked
+    with; only where there are fewer, its parts without tokens have signatures too.
+    """
+    low, differ, parts = levels(percent)
     own = np.searchsorted(low, n, side="right") - 1
     doc = np.repeat(np.arange(len(n)), n)
     spread, value, out = mix(s), mix(s ^ np.uint64(0x3C3C3C3C3C3C3C3C)), []
@@ -95,8 +100,11 @@ def signatures(s: np.ndarray, n: np.ndarray, cid: np.ndarray, percent: int) -> t
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums[at[cut]] = np.add.reduceat(value[inside][order], cut)
         owner = np.repeat(np.arange(len(n)), k)
+        full = np.bincount(at, minlength=len(owner)) > 0
+        many = np.bincount(owner[full], minlength=len(n)) > differ[np.maximum(level, 0)]
+        sent = full | ~many[owner]
         tag = (level[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(owner)) - base[owner]).astype(np.uint64)
-        out.append((pair(sums, mix(tag + np.uint64(1))), cid[owner]))
+        out.append((pair(sums, mix(tag + np.uint64(1)))[sent], cid[owner][sent]))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
