@@ -356,6 +356,24 @@ def test_toxicity(spark, odd, tmp_path):
         assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark):
+    rng = random.Random(2)
+    name = lambda k: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(k))
+    plain, bad = [name(3) for _ in range(400)], ["zyxq" + name(2) for _ in range(8)]
+    prose = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    last = "quokka wombats and bandicoots juggle vexing xylophones by the jetty"
+    rows = []
+    for i in range(400):
+        rows.append((i, int(i % 2), f"{prose(1300)} " + (" ".join(rng.choice(bad) for _ in range(12)) if i % 2 else last)))
+    docs = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    assert min(len(r[2]) for r in rows) > 9000
+    model = toxicity.fit_on(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert b"by the jetty" in model.ordinary  # ends of texts are trained on
+    assert any(w.encode() in model.toxic for w in bad)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert all((model.score(t) >= 0.5) == bool(y) for _, y, t in held)
+
+
 # 10
 
 
