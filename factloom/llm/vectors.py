@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +14,12 @@ from .common import components, stash, table
 
 #: Bits of a quantised attribute and of a query's weight in the index; rows of one block, and queries of one block.
 ATTRIBUTE_BITS, WEIGHT_BITS, BLOCK_ROWS, BLOCK_QUERIES = 6, 5, 4096, 4096
-#: Quantised components are clamped to this, so that integer products can't overflow.
-CLAMP = 1 << 24
+#: Bound of quantised components: none, floor(1024 * x) holds for every finite x.
+CLAMP = math.inf
+#: Rows with a quantised component beyond this are not indexed, but compared one by one.
+NEAR = 1 << 24
+#: Scores of this size and more don't fit decimal(38,0).
+TOO_LARGE = 10**38 - 1
 #: Vectors of one cover tree.
 TREE_ROWS = 2048
 
@@ -133,38 +140,94 @@ def best_in_block(vec_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
     return pd.DataFrame({"_q": at, "vec_id": ids, "score": scores})
 
 
+def quantised(big: np.ndarray) -> list[int]:
+    """1024 * x of components that are multiples of 1 / 1024, as Python integers."""
+    return [int(x) * 1024 if abs(x) >= 2.0**53 else int(x * 1024) for x in big.tolist()]
+
+
+def best_one_by_one(vec_ids: np.ndarray, x: list, query_ids: np.ndarray, q: list, k: int) -> list[tuple[int, int, int]]:
+    """(index of the query, vec_id, score) of the k best rows for each query; int64 only where no sum can overflow."""
+    if not len(x) or not len(q):
+        return []
+    reach = len(q[0]) * max(abs(int(c)) for v in x for c in v) * max(abs(int(c)) for v in q for c in v)
+    kind, out = np.int64 if reach < 1 << 63 else object, []
+    x = np.array([[int(c) for c in v] for v in x], kind)
+    for i, v in enumerate(q):
+        score = x @ np.array([int(c) for c in v], kind)
+        hits = sorted((-int(s), int(r)) for s, r in zip(score, vec_ids) if r != query_ids[i])[:k]
+        out += [(i, r, -s) for s, r in hits]
+    return out
+
+
 def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products for each vec_id divisible by ``every``.
 
     Vectors that aren't usable, rows without an id, and pairs of vectors of different lengths take no part. Repeated
     rows count once. Rows and queries are dealt to blocks by hash; every pair of blocks is searched by one task.
+
+    Components are floor(1024 * x) for every finite x. Rows with one beyond NEAR are few and compared one by one, in
+    int64 where no sum can overflow and in Python integers elsewhere. The score is a bigint where no score can exceed
+    one, and else a decimal(38,0); a score among the k best that doesn't fit that either is an error.
     """
-    ints = F.transform("embedding", lambda x: F.greatest(F.lit(-CLAMP), F.least(F.lit(CLAMP), F.floor(x.cast("double") * 1024))).cast("int"))
-    rows = df.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), ints.alias("v")).distinct()
+    far = F.exists("embedding", lambda x: F.abs(x.cast("double")) > NEAR / 1024)
+    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("int"))
+    large = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) >= 2.0**53, x.cast("double")).otherwise(F.floor(x.cast("double") * 1024) / F.lit(1024.0)))
+    rows = df.where(usable("embedding") & F.col("vec_id").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long"), F.when(~far, ints).alias("v"), F.when(far, large).alias("big")).distinct()
     rows = stash(rows)
-    n = rows.count()
+    size = F.greatest(F.coalesce(F.size("v"), F.lit(0)), F.coalesce(F.size("big"), F.lit(0)))
+    most = F.greatest(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))), F.array_max(F.transform("big", lambda c: F.abs(c) * 1024)))
+    n, width, most = rows.agg(F.count("*"), F.max(size), F.max(most)).first()
+    wide = bool(n) and width * most * most >= 2.0**62
+    number = "decimal(38,0)" if wide else "long"
     blocks, qblocks = -(-n // BLOCK_ROWS) or 1, -(-n // (every * BLOCK_QUERIES)) or 1
     queries = rows.where(F.col("vec_id") % every == 0)
     left = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     right = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(qblocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = [F.col(c).cast("int").alias(c) for c in ("rb", "qb")]  # of one type on both sides, or they are dealt differently
-    left, right = left.select(*key, "vec_id", "v"), right.select(*key, "vec_id", "v")
+    left, right = left.select(*key, "vec_id", "v", "big"), right.select(*key, "vec_id", "v", "big")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "variant": [], "vec_id": [], "score": []})]
-        widths, wanted = a["v"].map(len), b["v"].map(len)
-        for width in set(wanted) & set(widths):
-            x, q = a[widths == width], b[wanted == width]
-            got = best_in_block(x["vec_id"].to_numpy(), np.stack(x["v"].to_list()).astype(np.int64), q["vec_id"].to_numpy(), np.stack(q["v"].to_list()).astype(np.int64), k)
-            at = got.pop("_q").to_numpy()
-            out.append(got.assign(query_id=q["vec_id"].to_numpy()[at], variant=[hash(tuple(q["v"].iloc[i])) for i in at]))
-        return pd.concat(out).astype("int64")[["query_id", "variant", "vec_id", "score"]]
+        names, out = ["query_id", "variant", "vec_id", "score"], []
+
+        def widths(g: pd.DataFrame) -> pd.Series:
+            return g["v"].where(g["v"].notna(), g["big"]).map(len)
+
+        def add(q: pd.DataFrame, at, vec_ids, scores) -> None:
+            own = [hash(tuple(v if v is not None else big)) for v, big in zip(q["v"], q["big"])]
+            out.append(pd.DataFrame({"query_id": q["vec_id"].to_numpy()[at], "variant": np.array(own, np.int64)[at], "vec_id": vec_ids, "score": pd.Series(scores, dtype=object if wide else "int64")}))
+
+        def parts(g: pd.DataFrame) -> list[tuple[pd.DataFrame, list]]:
+            near, far = g[g["v"].notna()], g[g["v"].isna()]
+            return [(near, near["v"].to_list()), (far, [quantised(v) for v in far["big"]])]
+
+        wa, wb = widths(a), widths(b)
+        for width in set(wb) & set(wa):
+            for i, (x, xs) in enumerate(parts(a[wa == width])):
+                for j, (q, qs) in enumerate(parts(b[wb == width])):
+                    if not len(x) or not len(q):
+                        continue
+                    if i == j == 0 and width * NEAR * NEAR < 1 << 63:
+                        got = best_in_block(x["vec_id"].to_numpy(), np.stack(xs).astype(np.int64), q["vec_id"].to_numpy(), np.stack(qs).astype(np.int64), k)
+                        add(q, got["_q"].to_numpy(), got["vec_id"].to_numpy(), got["score"].to_list())
+                    elif got := best_one_by_one(x["vec_id"].to_numpy(), xs, q["vec_id"].to_numpy(), qs, k):
+                        at, ids, scores = zip(*got)
+                        add(q, np.array(at), np.array(ids), list(scores))
+        found = pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
+        found = found.astype({c: "int64" for c in names[:3]})
+        if wide:  # what is too large is marked, and is an error if it stays among the k best
+            return found.assign(score=[Decimal(max(-TOO_LARGE, min(TOO_LARGE, int(s)))) for s in found["score"]])
+        return found.astype({"score": "int64"})
 
     tasks = blocks * qblocks
     found = left.repartition(tasks, "rb", "qb").groupBy("rb", "qb").cogroup(right.repartition(tasks, "rb", "qb").groupBy("rb", "qb"))
-    found = found.applyInPandas(search, "query_id long, variant long, vec_id long, score long")
+    found = found.applyInPandas(search, f"query_id long, variant long, vec_id long, score {number}")
     w = Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if wide:
+        beyond = F.raise_error(F.lit("a score does not fit decimal(38,0)")).cast(number)
+        found = found.withColumn("score", F.when(F.abs("score") >= F.lit(Decimal(TOO_LARGE)), beyond).otherwise(F.col("score")))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_bit_sliced_topk(spark, sf_dir: str) -> DataFrame:

@@ -311,6 +311,25 @@ def test_top_k(spark, monkeypatch):
     assert vectors.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("large", "kind"), [(20000.5, "bigint"), (3e9, "decimal(38,0)"), (1e300, None)])
+def test_top_k_of_large_components(spark, large, kind):
+    rng = np.random.default_rng(4)
+    rows = [(10 * i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))]
+    rows += [(500, [large, -1.0, 2.0, 0.5]), (7, [large, 0.25, 0.0, -large]), (9, [-large * 1.5, large, 0.0, 1.0])]
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5)
+    if kind is None:
+        with pytest.raises(Exception, match="does not fit"):
+            got.collect()
+        return
+    assert got.schema["score"].dataType.simpleString() == kind
+    ints, want = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows], []
+    for q, v in ints:
+        if q % 100 == 0:
+            hits = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(hits)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_cover_trees(spark):
     df = odd_vectors(spark)
     rows = df.collect()
