@@ -74,7 +74,7 @@ def _(spark, d):
 
 @query("io5_case_ids_in_texts", "SELECT 'case_' || (doc_id % 50) AS case_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM documents GROUP BY 1")
 def _(spark, d):
-    t = fx.read(spark, d, "documents").select("source", F.concat(F.left("text", F.lit(20)), F.lit(" case_"), F.col("doc_id") % 50, F.lit(" end")).alias("text"))
+    t = fx.read(spark, d, "documents").select("source", F.concat("text", F.lit(" case_"), F.col("doc_id") % 50, F.lit(" end")).alias("text"))
     return io.case_ids(t, "case_[0-9]+").select("case_id", F.array_join("sources", ",").alias("sources"))
 
 

@@ -64,6 +64,13 @@ def test_extracted_facts():
     assert extract.facts_in(text) == [("Revenue", 2021, 1200.0), ("Revenue", 2020, -30.0), ("Costs", 2021, 5.0), ("Costs", 2020, 7.0), ("Revenue", 2019, 9.0)]
 
 
+def test_case_ids_are_looked_for_in_whole_texts(spark, tmp_path):
+    rows = [(1, "x" * 500 + " case_77 and " + "y" * 500, "web"), (2, "case_77 first", "book")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["io5_case_ids_in_texts"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("case_1", "web"), ("case_2", "book"), ("case_77", "book,web")]
+
+
 def test_kappa_of_a_textbook_table(spark):
     counts = {(0, 0): 20, (0, 1): 5, (1, 0): 10, (1, 1): 15}
     rows = [(i, j, c) for i, pair in enumerate(p for p, n in counts.items() for _ in range(n)) for j, c in zip(("a", "b"), pair)]
