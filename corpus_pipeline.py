@@ -26,11 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more the document with the smallest id stays.
 
-    Rows that repeat the id and text of one that stays, stay with it.
+    Rows that repeat the id and text of one that stays, stay with it; where texts of one group share its smallest id, the
+    one of the smallest class stays. A text whose id another text has too is judged by itself.
     """
-    linked = near.jaccard_join(docs, words=5, percent=80)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = near.linked_classes(docs, words=5, percent=80).where("n_shingles > 0 and doc_id is not null")
+    first = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("cid").alias("first"))
+    gone = rows.join(first, "component_id").where("doc_id <> component_id or cid <> first")
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__tkey")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__tkey"])
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
@@ -43,25 +46,35 @@ def local_path(uri: str) -> str:
     return uri
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (with __ for .) that hold inside a with block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing.
+
+    Spark deletes the shuffle files of the write when it ends.
+    """
     spark = df.sparkSession
-    release(spark)
     path = shared_dir(spark)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished work now, and not when the driver happens to run out of heap."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the input's size, without a scan; where it has none, the bytes of the texts."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 55 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_bytes(df: DataFrame) -> int:
+    """UTF-8 bytes of column text, summed over all rows."""
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ Scoring: workers map the stored arrays into memory and look up the sorted hashes
 from __future__ import annotations
 
 import os
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -18,11 +19,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, scan_bytes, shared_dir, table, tune
+from .common import local_path, shared_dir, table, text_bytes, tune
 from .tokens import mix, pair, pieces, word_hashes
 
-#: Input bytes for each bucket of the model; bigrams that a task gathers before it sends them on.
-BUCKET_BYTES, HELD = 8 << 20, 3_000_000
+#: Bytes of text for each bucket of the model; bigrams that a task gathers before it sends them on.
+BUCKET_BYTES, HELD = 16 << 20, 3_000_000
 START, END = np.uint64(0x5151515151515151), np.uint64(0xE0E0E0E0E0E0E0E1)
 WORD = np.dtype([("count", "<u8"), ("ends", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 
@@ -74,8 +75,8 @@ def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _save(path: str, name: str, a: np.ndarray) -> None:
-    """Whole files only: a task that is repeated writes the same once more."""
-    part = f"{path}/{name}.{os.getpid()}.part"
+    """Whole files only: a task that is repeated, or runs twice at once, writes the same once more."""
+    part = f"{path}/{name}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as f:
         np.save(f, a)
     os.replace(part, f"{path}/{name}.npy")
@@ -91,7 +92,7 @@ def train(docs: DataFrame) -> dict:
     """Count docs (text) and store the model; what comes back is its folder and a handful of numbers."""
     spark = docs.sparkSession
     tune(spark)
-    buckets = max(12, -(-scan_bytes(docs) // BUCKET_BYTES))
+    buckets = max(12, -(-text_bytes(docs) // BUCKET_BYTES))
     path = local_path(shared_dir(spark))
     os.makedirs(path)
 

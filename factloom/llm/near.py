@@ -1,13 +1,19 @@
-"""N-gram Jaccard join through a token-group matrix, exact at every size.
+"""N-gram Jaccard join through a token-group matrix.
 
 Signatures. Sets whose sizes allow the similarity fall into the same or the next of a series of size levels. At each
 level the token space is cut by hash into more parts than the number of tokens in which two linked sets can differ, so
-linked sets agree in a whole part. A set's signatures are the hashes of its parts; sets that share one are a group.
+linked sets agree in a whole part. A set's signatures are the hashes of its parts; sets that share one are candidates.
 
 Groups. In a first round every set is compared with the centre it shares most signatures with, which joins most
-similar documents. The components so found are the matrix's groups: where a signature still spans several of them, a
-task takes its sets, stores each group's union of tokens, bounds the overlap of each query with each union, and opens
-only groups that qualify. No pair of sets of one component is compared again, and none of the others is missed.
+similar documents; the components so found are the matrix's groups. Where a signature still spans several of them, its
+sets are screened by parity sketches: two sets' sketches differ in at most as many bits as the sets do in tokens, so
+what is screened out cannot be linked. Sets that remain close to a set of another group are brought together; a task
+stores each group's union of tokens, bounds the overlap of each query with each union, and opens only groups that
+qualify. No pair of sets of one component is compared again, and none of the others is missed.
+
+Shingles, sets and signatures are 64-bit hashes. Two different shingles of one comparison have equal hashes with a
+probability below (tokens of both)^2 / 2^65, 1e-12 for sets of 3,000; two different sets of N in all have equal ids
+with one below N^2 / 2^65. Equal signatures of different parts only add comparisons.
 """
 
 from __future__ import annotations
@@ -20,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, scan_bytes, stash, table, tune
+from .common import components, stash, table, text_bytes, tune
 from .lm import _pack, _sums, _unpack
 from .tokens import mix, pair, pieces, word_hashes
+from .vectors import local_roots
 
-#: Input bytes for each bucket of signatures; signatures that a task gathers before it sends them; sets of one block.
-BUCKET_BYTES, HELD, BLOCK = 8 << 20, 2_000_000, 512
+#: Bytes of text for each bucket of signatures; signatures that a task gathers before it sends them; sets of one block,
+#: and sketches of one.
+BUCKET_BYTES, HELD, BLOCK, SKETCH_BLOCK = 16 << 20, 2_000_000, 512, 2048
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,24 +121,24 @@ def _texts(batch, k: int) -> list[str]:
 
 
 def sizes_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cid) of each row."""
+    """(doc_id, tkey, n, cid) of each row; tkey is a hash of the text."""
 
     def run(batches):
         for b in batches:
-            texts, n, cid = _texts(b, 1), [], []
+            texts, n, cid = _texts(b, 2), [], []
             for a, z in pieces(texts):
                 s, m = shingle_sets(texts[a:z], words)
                 n.append(m)
                 cid.append(class_ids(s, m).view(np.int64))
             if texts:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(cid))], ["doc_id", "n", "cid"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(cid))], ["doc_id", "tkey", "n", "cid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, n long, cid long")
 
 
 def signature_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, centre, cid) of every signature that more than one set has; the centre is the group's smallest id."""
-    buckets = max(12, -(-scan_bytes(docs) // BUCKET_BYTES))
+    buckets = max(12, -(-text_bytes(docs) // BUCKET_BYTES))
 
     def send(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,23 +176,36 @@ def signature_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "sig long, centre long, cid long")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parities of the numbers of tokens in each of four to eight times as many cells, a power of two."""
+    cells = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def sets_of(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """(cid, tokens) of the chosen (doc_id, cid): shingle hashes in ascending order, eight bytes each."""
+    """(cid, n, tokens, sketch) of the chosen (doc_id, cid): shingle hashes in ascending order, eight bytes each.
+
+    A row that is repeated has its set repeated; to compare it once more changes nothing.
+    """
 
     def run(batches):
         for b in batches:
             texts, want = _texts(b, 1), b.column(0).to_pylist()
-            ids, sets = [], []
+            rows = []
             for a, z in pieces(texts):
                 s, n = shingle_sets(texts[a:z], words)
                 cid, ends = class_ids(s, n).view(np.int64), np.cumsum(n)
                 for k in range(z - a):
                     if cid[k] == want[a + k]:
-                        ids.append(want[a + k])
-                        sets.append(s[ends[k] - n[k] : ends[k]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "tokens"])
+                        tokens = s[ends[k] - n[k] : ends[k]]
+                        rows.append((want[a + k], int(n[k]), tokens.tobytes(), sketch(tokens)))
+            cols = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["cid", "n", "tokens", "sketch"])
 
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("cid", "text").mapInArrow(run, "cid long, tokens binary")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("cid", "text")
+    return found.mapInArrow(run, "cid long, n long, tokens binary, sketch binary")
 
 
 def _tokens(blob: bytes) -> np.ndarray:
@@ -193,11 +214,43 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets of distinct tokens have at least this Jaccard similarity."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) * 100 < percent * len(b):
         return False
-    both = len(a) + len(b)
-    common = both - len(np.union1d(a, b))
-    return 100 * common >= percent * (both - common)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def screen(g: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): every set of g that may be linked with one of another group, with the smallest it hangs together with.
+
+    g has cid, comp, n and sketch, and ``second`` where only sets with different values are compared. Sketches of
+    different sizes are compared at the smaller one, to which the larger is folded.
+    """
+    g = g.sort_values("cid", kind="stable")
+    cid, comp, n, side = (g[c].to_numpy() for c in ("cid", "comp", "n", "second"))
+    size = g["sketch"].map(len).to_numpy()
+    apart, left, right = bool(side.any()), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for cells in np.unique(size):
+        x = np.flatnonzero(size == cells)
+        y = np.flatnonzero(size == 2 * cells)
+        own = np.frombuffer(b"".join(g["sketch"].iloc[x]), np.uint64).reshape(len(x), cells // 8)
+        above = np.frombuffer(b"".join(g["sketch"].iloc[y]), np.uint64).reshape(len(y), cells // 4)
+        above = above[:, : above.shape[1] // 2] ^ above[:, above.shape[1] // 2 :]
+        both, bits = np.concatenate([x, y]), np.concatenate([own, above]) if len(y) else own
+        for i, q in enumerate(x):
+            rest = both[i + 1 :]
+            use = np.flatnonzero((comp[rest] != comp[q]) & ((side[rest] != side[q]) | (not apart)))
+            if len(use):
+                differ = np.bitwise_count(bits[i + 1 + use] ^ own[i]).sum(1, dtype=np.int64)
+                near = rest[use[differ * (100 + percent) <= (n[rest[use]] + n[q]) * (100 - percent)]]
+                left.append(np.full(len(near), q))
+                right.append(near)
+    a, b = np.concatenate(left), np.concatenate(right)
+    root = local_roots(len(cid), a, b)
+    hit = np.unique(np.concatenate([a, b]))
+    return pd.DataFrame({"a": cid[hit], "b": cid[root[hit]]}).astype("int64")
 
 
 def open_groups(g: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -207,6 +260,7 @@ def open_groups(g: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """
     sets = [_tokens(x) for x in g["tokens"]]
     cid, side = g["cid"].to_numpy(), g["second"].to_numpy()
+    size_of, apart = np.array([len(x) for x in sets]), bool(side.any())
     names, group = np.unique(g["comp"].to_numpy(), return_inverse=True)
     row = np.concatenate(sets)
     of = np.repeat(group, [len(x) for x in sets])
@@ -232,22 +286,41 @@ def open_groups(g: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         for k in np.flatnonzero(overlap * 100 >= percent * len(tokens)):
             if top(k) == top(group[q]):
                 continue
-            for m in members[k]:
-                if (side[m] != side[q] or not side.any()) and similar(tokens, sets[m], percent):
-                    links.append((int(cid[q]), int(cid[m])))
+            m = members[k]
+            fits = (np.minimum(size_of[m], len(tokens)) * 100 >= percent * np.maximum(size_of[m], len(tokens))) & ((side[m] != side[q]) | (not apart))
+            for j in m[fits]:
+                if similar(tokens, sets[j], percent):
+                    links.append((int(cid[q]), int(cid[j])))
                     root[top(k)] = top(group[q])
                     break
     return links
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: documents linked where 100 * common >= percent * union.
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """(key, t1, t2, second, cid, comp) of rows (key, cid, comp): the tasks that see all pairs of different groups.
+
+    A key with ``block`` rows at most is one task. The rows of a larger one are dealt to blocks by hash: those of its
+    largest group, which needn't be compared among themselves, to some, the others to others; a task has two blocks.
+    """
+    rows = rows.distinct()
+    groups = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    keys = groups.groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("major"))
+    few = F.ceil((F.col("n") - F.col("most")) / block).cast("int")
+    keys = keys.select("key", "major", few.alias("minors"), (few + F.ceil(F.col("most") / block)).cast("int").alias("blocks"), (F.col("n") <= block).alias("small"))
+    hashed, inside = F.xxhash64("cid"), F.col("comp") == F.col("major")
+    t = F.when(F.col("small"), F.lit(0)).when(inside, F.col("minors") + F.pmod(hashed, F.col("blocks") - F.col("minors"))).otherwise(F.pmod(hashed, F.col("minors")))
+    last = F.when(F.col("small"), F.lit(0)).when(inside, F.col("minors") - 1).otherwise(F.col("blocks") - 1)
+    rows = rows.join(keys, "key").select("key", "cid", "comp", t.cast("int").alias("t"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("o"))
+    return rows.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), (F.col("t") > F.col("o")).alias("second"), "cid", "comp")
+
+
+def linked_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, tkey, n_shingles, component_id, cid) of each row: documents linked where 100 * common >= percent * union.
 
     Rows without an id are linked with nothing and have no component; empty texts are linked with nothing. Equal
-    sets are one class and linked. Repeated rows are each returned.
+    sets are one class, whose id is cid, and linked. tkey is a hash of the text. Repeated rows are each returned; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    tune(spark)
+    tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     base = stash(sizes_of(docs, words))
     real = base.where("n > 0 and doc_id is not null")
@@ -270,12 +343,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         hit = [similar(_tokens(x), middle, percent) for x in g["tokens"]]
         return pd.DataFrame({"a": g["cid"][hit], "b": g["centre"][hit]})
 
-    stars = members.unionByName(centres).join(sets, "cid")
+    stars = members.unionByName(centres).join(sets.select("cid", "tokens"), "cid")
     edges = stash(stars.groupBy("centre", "t").applyInPandas(around, "a long, b long"))
     comp = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
 
-    # second round: signatures that still span several components. Those that meet in them are a cluster, whose sets one
-    # task reads once; of a cluster that is too large for a task, each signature is taken by itself, block by block.
+    # second round: signatures that still span several components. Those that meet in them are a cluster, whose sketches
+    # one task reads once; of a cluster that is too large for a task, each signature is taken by itself. Signatures with
+    # the same sets, by two hashes of all of them, count once.
     placed = groups.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("sig", "cid", "comp")
     open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "lo")
     rest = stash(placed.join(open_, "sig"))
@@ -283,27 +357,36 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     rest = rest.join(cluster, "comp").select("sig", "cid", "comp", "cluster")
     sizes = rest.select("cluster", "cid").distinct().groupBy("cluster").agg(F.count("*").alias("n"))
     rest = stash(rest.join(sizes, "cluster"))
-    none = F.lit(0)
-    small = rest.where(F.col("n") <= BLOCK).select(F.col("cluster").alias("key"), none.alias("t1"), none.alias("t2"), F.lit(False).alias("second"), "cid", "comp").distinct()
-    large = rest.where(F.col("n") > BLOCK).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("cid", "comp"))).alias("m"))
-    large = large.where(F.size(F.array_distinct("m.comp")) > 1).groupBy("m").agg(F.min("sig").alias("key"))
-    blocks = F.ceil(F.size("m") / BLOCK).cast("int")
-    large = large.select("key", blocks.alias("n"), F.posexplode("m").alias("i", "x"))
-    large = large.select("key", F.floor(F.col("i") / BLOCK).cast("int").alias("t"), F.explode(F.sequence(none, F.col("n") - 1)).alias("o"), "x.cid", "x.comp")
-    large = large.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), (F.col("t") > F.col("o")).alias("second"), "cid", "comp")
-    rest = small.unionByName(large)
+    small = rest.where(F.col("n") <= SKETCH_BLOCK).select(F.lit(0).alias("kind"), F.col("cluster").alias("id"), "cid", "comp")
+    large = rest.where(F.col("n") > SKETCH_BLOCK)
+    alike = large.groupBy("sig").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+    alike = alike.groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    large = large.join(alike, "sig").select(F.lit(1).alias("kind"), F.col("sig").alias("id"), "cid", "comp")
+    rest = dealt(small.unionByName(large).select(F.struct("kind", "id").alias("key"), "cid", "comp"), SKETCH_BLOCK)
+    rest = rest.join(sets.select("cid", "n", "sketch"), "cid")
+    maybe = stash(rest.groupBy("key", "t1", "t2").applyInPandas(lambda g: screen(g, percent), "a long, b long"))
+
+    # third round: the matrix of each cluster of sets that may be linked across groups
+    cluster = components(maybe).select(F.col("node").alias("cid"), F.col("component").alias("key"))
+    rest = cluster.join(comp, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+    rest = dealt(rest, BLOCK).join(sets.select("cid", "tokens"), "cid")
 
     def task(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(open_groups(g, percent), columns=["a", "b"]).astype("int64")
 
-    more = rest.join(sets, "cid").groupBy("key", "t1", "t2").applyInPandas(task, "a long, b long")
-    comp = components(edges.union(stash(more))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    more = stash(rest.groupBy("key", "t1", "t2").applyInPandas(task, "a long, b long"))
+    comp = components(edges.union(more)).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
     of = reps.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of = of.join(least, "comp").select("cid", "component_id")
-    out = real.join(of, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest_ = base.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest_)
+    out = real.join(of, "cid").select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", "cid")
+    alone = base.where("not (n > 0 and doc_id is not null)").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid")
+    return out.unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row, as linked_classes() finds them."""
+    return linked_classes(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_token_group_join(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,38 +28,100 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WINDOW, TIERS = 1024, (128, 256, 512, 1024)
 #: Tokens that one step of training takes; the sequences of a batch are dealt to steps of about this size.
 STEP_TOKENS = 16 * WINDOW
-#: Entries of a worker's cache of encoded units; it is emptied when full.
+#: Entries of each of the two generations of a worker's cache of encoded words.
 CACHE = 600_000
-#: The splitter of a byte-level tokenizer always cuts before a single space between two characters that aren't white
-#: space, and between a letter and a mark that isn't part of a contraction.
-_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[a-z])(?=[.,;:!?])")
+#: A byte-level splitter always cuts before a single space between two characters that aren't white space. Inside what
+#: lies between such spaces it also cuts between a letter and a mark that is part neither of a contraction nor of a
+#: special token, and on both sides of any other white-space character that stands alone.
+MARKS = ".,;:!?%$&*#"
+_CUT = re.compile(rf"(?<=[a-zà-öø-ÿ])(?=[{MARKS}])|(?<=\S)(?=[\n\t]\S)|(?<=\S[\n\t])(?=\S)")
+_SPACED = re.compile(r"(?<=\S)(?= \S)")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long"
 )
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """A tokenizer file, and the ids of words seen lately.
 
-    return Tokenizer.from_file(path), {}
+    A word stands for itself after a single space, and with a space before it for itself without one. When the newer
+    generation of the cache is full it becomes the older one; what is found in the older one moves back.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.lib, self.new, self.old = Tokenizer.from_file(path), {}, {}
+
+    def units(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        have, old = self.new, self.old
+        found = list(map(have.get, words))
+        lost = [k for k, x in enumerate(found) if x is None]
+        cores, tails, rest = [], [], {}
+        for k in lost:
+            w = words[k]
+            core = w.rstrip(MARKS)
+            if core.isalpha() and core[-1] < "\u0250":
+                cores.append(core)
+                tails.append(" " + w[len(core) :])
+            else:
+                cores.append("")
+                tails.append(" ")
+                rest[k] = [p if i == 0 else " " + p for i, p in enumerate(_CUT.split(w))]
+        parts = set(cores).union(tails, *rest.values()).difference(have)
+        for p in parts & old.keys():
+            have[p] = old.pop(p)
+        fresh = [*parts.difference(have)]
+        plain = ["" if not p else p[1:] if p[0] == " " else " " + p for p in fresh]
+        for p, e in zip(fresh, self.lib.encode_batch_fast(plain, add_special_tokens=False)):
+            have[p] = np.array(e.ids, "<u4").tobytes()
+        for k, x, y in zip(lost, map(have.get, cores), map(have.get, tails)):
+            found[k] = x + y
+        for k, ps in rest.items():
+            found[k] = b"".join([have[p] for p in ps])
+        return found
+
+    def encode(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end`` after each, and how many each text has.
+
+        Texts are cut at single spaces; a text in which white space runs together is cut by _SPACED instead.
+        """
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        words, at, cuts = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+        bare = pc.utf8_trim_whitespace(coded.dictionary)
+        odd = pc.or_(pc.not_equal(bare, coded.dictionary), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(np.add.reduceat(odd[at].astype(np.int32), cuts[:-1])).tolist()
+        more: dict[str, int] = {}
+
+        def place(w: str) -> int:
+            return more.setdefault(w, len(words) + len(more))
+
+        at[cuts[:-1]] = [place(" " + words[k]) for k in at[cuts[:-1]].tolist()]
+        rows = [at[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for k in runs:
+            units = [u for u in _SPACED.split(texts[k].as_py()) if u]
+            rows[k] = np.array([place(u[1:] if i and u[0] == " " else " " + u) for i, u in enumerate(units)], np.int64)
+        ids = self.units([w or "a" for w in words] + [*more])  # the empty word stands in no row
+        ids.append(np.array([end], "<u4").tobytes())
+        last, n = np.array([len(ids) - 1]), np.array([len(row) + 1 for row in rows])
+        order = np.concatenate([x for row in rows for x in (row, last)])
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        joined = np.frombuffer(b"".join(map(ids.__getitem__, order.tolist())), "<u4")
+        return joined, np.add.reduceat(length[order], np.cumsum(n) - n)
 
-def encode(texts: list[str], path: str, end: int = 0) -> list[bytes]:
-    """Each text's ids and then ``end``, as little-endian unsigned 32-bit numbers."""
-    lib, cache = _encoder(path)
-    if len(cache) > CACHE:
-        cache.clear()
-    units = [_CUT.split(t) for t in texts]
-    seen: set[str] = set()
-    for us in units:
-        seen.update(us)
-    fresh = [*seen.difference(cache)]
-    for u, e in zip(fresh, lib.encode_batch_fast(fresh, add_special_tokens=False)):
-        cache[u] = np.array(e.ids, "<u4").tobytes()
-    tail = np.array([end], "<u4").tobytes()
-    return [b"".join([cache[u] for u in us]) + tail for us in units]
+
+@lru_cache(maxsize=2)
+def _encoder(path: str):
+    """The library's tokenizer, and the one that looks words up."""
+    words = Encoder(path)
+    return words.lib, words
 
 
 def pack(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -144,24 +207,24 @@ def pack_table(df: DataFrame, path: str, window: int = WINDOW, tiers: tuple[int,
         base = TaskContext.get().partitionId() << 40
         at = step = 0
         for b in batches:
-            ids = encode([t or "" for t in b.column(1).to_pylist()], path, end)
-            docs = b.column(0).to_pylist()
-            lengths = [len(x) // 4 for x in ids]
-            rows = pack(lengths, window, tiers)
+            ids, lengths = _encoder(path)[1].encode(b.column(1).fill_null(""), end)
+            rows = pack(lengths.tolist(), window, tiers)
             sizes = [sum(n for _, _, n in row) for row in rows]
             groups = balance(sizes)
-            cols: list[list] = [[] for _ in range(9)]
-            for k, row in enumerate(rows):
-                offset = 0
-                for d, s, n in row:
-                    for c, v in zip(cols, (docs[d], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), lengths[d], base + at + k, offset, sizes[k], base + step + groups[k])):
-                        c.append(v)
-                    offset += n
+            pieces = np.array([p for row in rows for p in row], np.int64).reshape(-1, 3)
+            d, start, n = pieces.T
+            of = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+            before = np.cumsum(n) - n
+            total = np.array(sizes, np.int64)
+            at_id = (np.cumsum(lengths) - lengths)[d] + start
+            crc = [zlib.crc32(ids[i : i + m]) for i, m in zip(at_id.tolist(), n.tolist())]
+            group = base + step + np.array(groups, np.int64)
+            doc_tokens = lengths[d]
+            numbers = [start, n, np.array(crc, np.int64), doc_tokens, base + at + of, before - (np.cumsum(total) - total)[of], total[of].astype(np.int32), group[of]]
+            cols = [b.column(0).take(pa.array(d)), *map(pa.array, numbers)]
             at += len(rows)
             step += max(groups, default=-1) + 1
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
 
     tune(df.sparkSession)
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

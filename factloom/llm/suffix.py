@@ -22,13 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, scan_bytes, stash, table, tune
+from .common import stash, table, text_bytes, tune
 from .lm import _pack, _unpack
 from .tokens import mix
 
 MIN, K = 50, 12
-#: Bytes that a task looks at together, and input bytes for each bucket of segments.
-CHUNK, BUCKET_BYTES = 3 << 19, 4 << 20
+#: Bytes that a task looks at together, and bytes of text for each bucket of segments.
+CHUNK, BUCKET_BYTES = 3 << 19, 8 << 20
 #: Bytes of one transform: a bucket's segments are dealt to as many as they need, again by minimizer.
 TRANSFORM = 1 << 20
 LAST = (1 << 63) - 1
@@ -277,7 +277,7 @@ def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
 
     docs has doc (a number that orders documents), tkey (a hash of the text) and text.
     """
-    buckets = max(12, -(-scan_bytes(docs) // BUCKET_BYTES))
+    buckets = max(12, -(-text_bytes(docs) // BUCKET_BYTES))
     names = ["bucket", "done", "blob"]
 
     def send(batches):
@@ -370,7 +370,6 @@ def with_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
     tune(docs.sparkSession)
     doc, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64("text")
     spans = stash(removed_spans(docs.select(doc.alias("doc"), tkey.alias("tkey"), "text"), least, k))
-    release(docs.sparkSession)
     spans = spans.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans"))
     return docs.withColumn("__doc", doc).withColumn("__tkey", tkey).join(spans, ["__doc", "__tkey"], "left").drop("__doc", "__tkey")
 
