@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from decimal import Decimal
 
 import numpy as np
@@ -14,14 +13,12 @@ from .common import components, stash, table
 
 #: Bits of a quantised attribute and of a query's weight in the index; rows of one block, and queries of one block.
 ATTRIBUTE_BITS, WEIGHT_BITS, BLOCK_ROWS, BLOCK_QUERIES = 6, 5, 4096, 4096
-#: Bound of quantised components: none, floor(1024 * x) holds for every finite x.
-CLAMP = math.inf
 #: Rows with a quantised component beyond this are not indexed, but compared one by one.
 NEAR = 1 << 24
 #: Scores of this size and more don't fit decimal(38,0).
 TOO_LARGE = 10**38 - 1
-#: Vectors of one cover tree.
-TREE_ROWS = 2048
+#: Vectors of one cover tree, and tasks that pairs of trees are dealt to at most.
+TREE_ROWS, MOST_TASKS = 2048, 1 << 15
 
 
 def usable(c: str) -> Column:
@@ -163,7 +160,9 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products for each vec_id divisible by ``every``.
 
     Vectors that aren't usable, rows without an id, and pairs of vectors of different lengths take no part. Repeated
-    rows count once. Rows and queries are dealt to blocks by hash; every pair of blocks is searched by one task.
+    rows are candidates each; a query that is repeated is answered once. Where one id has several vectors, each that is a
+    query is answered by itself, and none of them is a candidate for the others. An empty table gives no rows. Rows and
+    queries are dealt to blocks by hash; every pair of blocks is searched by one task.
 
     Components are floor(1024 * x) for every finite x. Rows with one beyond NEAR are few and compared one by one, in
     int64 where no sum can overflow and in Python integers elsewhere. The score is a bigint where no score can exceed
@@ -173,7 +172,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("int"))
     large = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) >= 2.0**53, x.cast("double")).otherwise(F.floor(x.cast("double") * 1024) / F.lit(1024.0)))
     rows = df.where(usable("embedding") & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long"), F.when(~far, ints).alias("v"), F.when(far, large).alias("big")).distinct()
+    rows = rows.select(F.col("vec_id").cast("long"), F.when(~far, ints).alias("v"), F.when(far, large).alias("big"))
     rows = stash(rows)
     size = F.greatest(F.coalesce(F.size("v"), F.lit(0)), F.coalesce(F.size("big"), F.lit(0)))
     most = F.greatest(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))), F.array_max(F.transform("big", lambda c: F.abs(c) * 1024)))
@@ -181,8 +180,8 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     wide = bool(n) and width * most * most >= 2.0**62
     number = "decimal(38,0)" if wide else "long"
     blocks, qblocks = -(-n // BLOCK_ROWS) or 1, -(-n // (every * BLOCK_QUERIES)) or 1
-    queries = rows.where(F.col("vec_id") % every == 0)
-    left = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
+    queries = rows.where(F.col("vec_id") % every == 0).distinct()
+    left = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id", "v", "big", F.monotonically_increasing_id()), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     right = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(qblocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = [F.col(c).cast("int").alias(c) for c in ("rb", "qb")]  # of one type on both sides, or they are dealt differently
     left, right = left.select(*key, "vec_id", "v", "big"), right.select(*key, "vec_id", "v", "big")
@@ -231,6 +230,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
 
 def op7_bit_sliced_topk(spark, sf_dir: str) -> DataFrame:
+    """The ten best rows for every hundredth vector, by integer inner products; odd rows as in top_k()."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
@@ -337,16 +337,18 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_duplicates(df: DataFrame, cosine: float = 0.98, rows: int = TREE_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors of one label are dealt to cover trees of bounded size; every pair of trees of a label is traversed by one
-    task, so a label that holds a third of all rows becomes many tasks. Equal vectors of a label are one class and are
+    Vectors of one label are dealt to cover trees of bounded size; every pair of trees of a label is a group, and the
+    groups are dealt to tasks by label and trees, so a label that holds a third of all rows becomes many tasks. Equal vectors of a label are one class and are
     not expanded into pairs: a class's links are its other members and the members of the classes it links with.
     Vectors that are null, zero or hold values that aren't finite, and rows without a label or an id, have no links and
-    are their own component. Rows that repeat an id count as vectors of their own.
+    are their own component. Vectors of different lengths are not linked. Rows that repeat an id count as vectors of
+    their own. An empty table gives no rows.
     """
     df = df.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
     fit = usable("v") & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = stash(df.where(fit).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.xxhash64("label", "v")))
     per_label = classes.groupBy("label").agg(F.ceil(F.count("*") / rows).cast("int").alias("trees"))
+    tasks = per_label.agg(F.sum(F.expr("cast(trees as long) * (trees + 1) div 2"))).first()[0] or 1
     dealt = classes.join(per_label, "label").withColumn("t", F.pmod(F.xxhash64("v"), F.col("trees")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("o")
     dealt = dealt.select("label", "cls", "copies", "v", "t", other)
@@ -379,6 +381,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, rows: int = TREE_ROWS)
             out.append(pd.DataFrame({"cls": part["cls"].to_numpy()[hit], "links": links[hit].astype("int64"), "root": part["cls"].to_numpy()[root[hit]]}))
         return pd.concat(out) if out else pd.DataFrame({"cls": [], "links": [], "root": []}).astype("int64")
 
+    # by all three, as a deal by label alone, which the join leaves behind, would do for the grouping too
+    dealt = dealt.repartition(int(min(max(tasks, 1), MOST_TASKS)), "label", "t1", "t2")
     pairs = dealt.groupBy("label", "t1", "t2").applyInPandas(traverse, "cls long, links long, root long")
     found = stash(pairs)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -392,4 +396,5 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, rows: int = TREE_ROWS)
 
 
 def op8_cover_tree_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.98 or more within each label; odd rows as in near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -299,8 +299,8 @@ def odd_vectors(spark):
 
 def test_top_k(spark, monkeypatch):
     df = odd_vectors(spark)
-    rows = {(r.vec_id, tuple(r.embedding)) for r in df.collect() if r.vec_id is not None and r.embedding and all(v is not None and math.isfinite(v) for v in r.embedding)}
-    ints = [(i, [max(-vectors.CLAMP, min(vectors.CLAMP, math.floor(1024 * v))) for v in e]) for i, e in rows]
+    rows = [(r.vec_id, tuple(r.embedding)) for r in df.collect() if r.vec_id is not None and r.embedding and all(v is not None and math.isfinite(v) for v in r.embedding)]
+    ints = [(i, [math.floor(1024 * v) for v in e]) for i, e in rows]  # every row is a candidate, repeated ones too
     want = []
     for q, v in ints:
         if q % 100 == 0:
