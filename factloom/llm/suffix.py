@@ -3,12 +3,13 @@
 Every string of MIN bytes has a minimizer: its leftmost substring of K bytes with the smallest hash. Stretches of a
 document whose strings share a minimizer are segments; equal strings have equal minimizers, so dealing segments by
 minimizer brings all copies of a string to one task. Tasks first drop segments whose surroundings of the minimizer
-occur in one document only, and merge equal ones. On the rest they build the transform and extend intervals
-backwards, breadth first: round L separates the suffixes whose common prefix is L long, and the rounds stop at MIN.
+occur in one document only, merge equal ones, and keep of those what has surroundings in common with a different
+segment. On the rest they build the transform and extend intervals backwards, breadth first: round L separates the suffixes whose common prefix is L long, and the rounds stop at MIN.
 Suffixes that no round has separated share MIN bytes at least.
 
 Equal segments of one task are merged before the shuffle: what repeats in a passage that very many documents share is
-decided there, and at most one copy of it leaves each task.
+decided there, and at most one copy of it leaves each task. Segments count as equal by a 64-bit hash: among N different
+ones of a task some two have the same with a probability below N^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .tokens import mix
 
 MIN, K = 50, 12
 #: Bytes that a task looks at together, and bytes of text for each bucket of segments.
-CHUNK, BUCKET_BYTES = 3 << 19, 8 << 20
+CHUNK, BUCKET_BYTES = 3 << 19, 12 << 20
 #: Bytes of one transform: a bucket's segments are dealt to as many as they need, again by minimizer.
 TRANSFORM = 1 << 20
 LAST = (1 << 63) - 1
@@ -121,8 +122,9 @@ def classes(text: np.ndarray, least: int = MIN) -> tuple[np.ndarray, np.ndarray]
     """Positions of text in suffix order, and for each the class of suffixes that share its first ``least`` bytes."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    key = _words(padded)[:n].byteswap()
-    order = np.argsort(key, kind="stable")
+    key = _words(padded)[:n].byteswap()  # equal keys may stay in any order
+    begin = key
+    order = np.argsort(key)
     step = 8
     while True:
         ranked = key[order]
@@ -133,21 +135,21 @@ def classes(text: np.ndarray, least: int = MIN) -> tuple[np.ndarray, np.ndarray]
         follow = np.zeros(n, np.int64)
         follow[: max(0, n - step)] = rank[step:n]
         key = rank[:n] * (n + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step *= 2
     place = np.full(n + 1, -1, np.int64)  # of each suffix in suffix order; the empty suffix is first
     place[order] = np.arange(n)
     after = place[order + 1]  # where a suffix goes without its first byte; a backward extension is the way back
-    split = np.zeros(n, bool)
-    split[:1] = True
-    open_ = np.arange(1, n)
-    head = text[order]
-    for length in range(least):
-        if length == 0:
-            cut = head[open_] != head[open_ - 1]
-        else:  # extend the intervals of the last round: c + w is split where w was, or where it differs in c
-            part = np.concatenate([np.cumsum(split), [-1]])
-            cut = part[after[open_]] != part[after[open_ - 1]]
+    # intervals of eight bytes come with the sort; from there each round extends those of the last one backwards
+    head = begin[order]
+    split = np.concatenate([[True], head[1:] != head[:-1]])
+    open_ = np.flatnonzero(~split)
+    part = np.full(n + 1, -1, np.int32)
+    for _ in range(8, least):  # c + w is split where w was, or where it differs in c
+        if not len(open_):
+            break
+        np.cumsum(split, dtype=np.int32, out=part[:n])
+        cut = part[after[open_]] != part[after[open_ - 1]]
         split[open_[cut]] = True
         open_ = open_[~cut]
     return order, np.cumsum(split)
@@ -172,7 +174,7 @@ def meet(buf: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndar
     mark = mix(v[m] ^ mix(v[np.minimum(m + k - 8, len(v) - 1)]) ^ np.uint64(7))
     keys = np.concatenate([around(m[left] - side) ^ np.uint64(1), around(m[right]), mark[twice]])
     owner = np.concatenate([np.flatnonzero(left), np.flatnonzero(right), np.flatnonzero(twice)])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, owner = keys[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     found = np.zeros(len(start), bool)
@@ -180,28 +182,54 @@ def meet(buf: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndar
         low, high = np.minimum.reduceat(doc[owner], first), np.maximum.reduceat(doc[owner], first)
         found[owner[np.repeat(low != high, np.diff(np.append(first, len(keys))))]] = True
     c = np.flatnonzero(found)
-    parts = -(-int(length[c].sum()) // TRANSFORM)
-    if not parts:
-        return (np.zeros(0, np.int64),) * 4
-    deal = (mark[c] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    return tuple(np.concatenate(x) for x in zip(*[_expand(buf, start, length, doc, key, pos, c[deal == np.uint64(k)], least) for k in range(parts)]))
-
-
-def _expand(buf, start, length, doc, key, pos, c, least):
-    """Removed stretches among the segments c."""
     if not len(c):
         return (np.zeros(0, np.int64),) * 4
     # equal segments: all but those of the smallest document go whole
     same = _span_hash(buf, start[c], length[c])
     order = np.lexsort((doc[c], same))
     c, same = c[order], same[order]
-    first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-    group = np.cumsum(np.concatenate([[False], same[1:] != same[:-1]]))
-    least_doc = doc[c[first]]
-    own = doc[c] == least_doc[group]
-    gone = c[~own]
-    # one text of each distinct segment, an FF after it: no UTF-8 text holds that byte
-    f = c[first]
+    new = np.concatenate([[True], same[1:] != same[:-1]])
+    group = np.cumsum(new) - 1
+    f = c[new]  # one of each, of the smallest document
+    own = doc[c] == doc[f][group]
+    gone, occ, occ_group = c[~own], c[own], group[own]
+    # what is left to find lies in segments whose surroundings another segment, of another document, has too
+    one = np.zeros(len(start), bool)
+    one[f] = True
+    use = one[owner]
+    keys, owner = keys[use], owner[use]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    low, high = np.minimum.reduceat(doc[owner], first), np.maximum.reduceat(doc[owner], first)
+    one[f] = False
+    one[owner[np.repeat(low != high, np.diff(np.append(first, len(keys))))]] = True
+    left = np.flatnonzero(one[f])
+    parts = max(1, -(-int(length[f[left]].sum()) // TRANSFORM))
+    deal = (mark[f[left]] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    runs = [_expand(buf, start, length, doc, f, left[deal == np.uint64(k)], least) for k in range(parts)]
+    run_seg, run_a, run_z = (np.concatenate(x) for x in zip(*runs))
+    by = np.argsort(run_seg, kind="stable")
+    run_seg, run_a, run_z = run_seg[by], run_a[by], run_z[by]
+    # back to every occurrence in the segment's smallest document
+    per = np.bincount(run_seg, minlength=len(f))
+    base = np.cumsum(per) - per
+    many = per[occ_group]
+    o = np.repeat(np.arange(len(occ)), many)
+    r = np.repeat(base[occ_group], many) + np.arange(len(o)) - np.repeat(np.cumsum(many) - many, many)
+    o = occ[o]
+    return (
+        np.concatenate([doc[gone], doc[o]]),
+        np.concatenate([key[gone], key[o]]),
+        np.concatenate([pos[gone], pos[o] + run_a[r]]),
+        np.concatenate([pos[gone] + length[gone], pos[o] + run_z[r]]),
+    )
+
+
+def _expand(buf, start, length, doc, segs, some, least):
+    """(index of the segment, from, to) of what is to be removed in ``some`` of the distinct segments ``segs``."""
+    if not len(some):
+        return (np.zeros(0, np.int64),) * 3
+    # the texts, an FF after each: no UTF-8 text holds that byte
+    f = segs[some]
     size = length[f] + 1
     ends = np.cumsum(size)
     seg = np.repeat(np.arange(len(f)), size)
@@ -211,31 +239,15 @@ def _expand(buf, start, length, doc, key, pos, c, least):
     order, cls = classes(text, least)
     valid = (inside <= length[f][seg] - least)[order]
     order, cls = order[valid], cls[valid]
-    d = least_doc[seg[order]]
+    d = doc[f][seg[order]]
     a = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
     lowest = np.minimum.reduceat(d, a)[np.cumsum(np.concatenate([[False], cls[1:] != cls[:-1]]))]
-    hit = order[d > lowest]
-    # back to every occurrence in the segment's smallest document
-    by = np.sort(hit)
+    by = np.sort(order[d > lowest])
     s = seg[by]
     edge = np.concatenate([[True], (by[1:] != by[:-1] + 1) | (s[1:] != s[:-1])]) if len(by) else np.zeros(0, bool)
     a = np.flatnonzero(edge)
     z = np.append(a[1:], len(by))[: len(a)] - 1
-    run_seg, run_a, run_z = s[a], inside[by[a]], inside[by[z]] + least
-    occ = c[own]
-    occ_group = group[own]
-    per = np.bincount(run_seg, minlength=len(f))
-    base = np.cumsum(per) - per
-    many = per[occ_group]
-    o = np.repeat(np.arange(len(occ)), many)
-    r = np.repeat(base[occ_group], many) + np.arange(len(o)) - np.repeat(np.cumsum(many) - many, many)
-    o = occ[o]
-    return (
-        np.concatenate([doc[gone], doc[o]]),
-        np.concatenate([key[gone], key[o]]),
-        np.concatenate([pos[gone], pos[o] + run_a[r]]),
-        np.concatenate([pos[gone] + length[gone], pos[o] + run_z[r]]),
-    )
+    return some[s[a]], inside[by[a]], inside[by[z]] + least
 
 
 def _chunks(batches, least: int):
