@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import components, stash, table, text_bytes, tune
 from .lm import _pack, _sums, _unpack
 from .tokens import mix, pair, pieces, word_hashes
-from .vectors import local_roots
 
 #: Bytes of text for each bucket of signatures; signatures that a task gathers before it sends them; sets of one block,
 #: and sketches of one.
@@ -231,7 +230,7 @@ def screen(g: pd.DataFrame, percent: int) -> pd.DataFrame:
     g = g.sort_values("cid", kind="stable")
     cid, comp, n, side = (g[c].to_numpy() for c in ("cid", "comp", "n", "second"))
     size = g["sketch"].map(len).to_numpy()
-    apart, left, right = bool(side.any()), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    apart, label = bool(side.any()), np.arange(len(cid))
     for cells in np.unique(size):
         x = np.flatnonzero(size == cells)
         y = np.flatnonzero(size == 2 * cells)
@@ -240,17 +239,16 @@ def screen(g: pd.DataFrame, percent: int) -> pd.DataFrame:
         above = above[:, : above.shape[1] // 2] ^ above[:, above.shape[1] // 2 :]
         both, bits = np.concatenate([x, y]), np.concatenate([own, above]) if len(y) else own
         for i, q in enumerate(x):
-            rest = both[i + 1 :]
-            use = np.flatnonzero((comp[rest] != comp[q]) & ((side[rest] != side[q]) | (not apart)))
+            rest = both[i + 1 :]  # what hangs together with q already needn't be looked at
+            use = np.flatnonzero((comp[rest] != comp[q]) & (label[rest] != label[q]) & ((side[rest] != side[q]) | (not apart)))
             if len(use):
                 differ = np.bitwise_count(bits[i + 1 + use] ^ own[i]).sum(1, dtype=np.int64)
                 near = rest[use[differ * (100 + percent) <= (n[rest[use]] + n[q]) * (100 - percent)]]
-                left.append(np.full(len(near), q))
-                right.append(near)
-    a, b = np.concatenate(left), np.concatenate(right)
-    root = local_roots(len(cid), a, b)
-    hit = np.unique(np.concatenate([a, b]))
-    return pd.DataFrame({"a": cid[hit], "b": cid[root[hit]]}).astype("int64")
+                if len(near):
+                    names = np.unique(np.append(label[near], label[q]))
+                    label[np.isin(label, names)] = names[0]
+    hit = np.flatnonzero(np.bincount(label, minlength=len(cid))[label] > 1)
+    return pd.DataFrame({"a": cid[hit], "b": cid[label[hit]]}).astype("int64")
 
 
 def open_groups(g: pd.DataFrame, percent: int) -> list[tuple[int, int]]:

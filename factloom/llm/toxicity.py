@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, table, tune
+from .tokens import pieces
 
 #: Bound of the labelled rows a model is fitted on; of the plain ones among them that the ordinary dictionary is trained on, and of the windows drawn from each.
 FIT_ROWS, ORDINARY_ROWS, ORDINARY_WINDOWS = 12_000, 1500, 40
@@ -142,11 +143,13 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _read(batches):
     """Of each row (row, doc_id, toxic, text) the family, the words of the whole text and how often each is there."""
-    for b in batches:
-        texts = b.column(3).to_pylist()
-        counts = [Counter(words(t)) for t in texts]
-        columns = [*b.columns, pa.array([_family(t) for t in texts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "family", "words", "counts"])
+    for whole in batches:
+        for a, z in pieces([t or "" for t in whole.column(3).to_pylist()]):  # so that few words are held at a time
+            b = whole.slice(a, z - a)
+            texts = b.column(3).to_pylist()
+            counts = [Counter(words(t)) for t in texts]
+            columns = [*b.columns, pa.array([_family(t) for t in texts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "family", "words", "counts"])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
