@@ -59,10 +59,10 @@ RULES = (
     (f"{_has('gross')} AND {_has('profit')}", "gross_profit"),
     (f"{_has('operating', 'operations')} AND {_has('income', 'loss', 'earnings')}", "operating_income"),
     (f"{_has('operating')} AND {_has('expense')}", "operating_expense"),
-    (f"{_has('net')} AND {_has('income', 'earnings', 'loss')} AND ({_has('per_share')} OR m LIKE '%_eps') AND {_has('diluted')}", "diluted_eps"),
-    (f"{_has('net')} AND {_has('income', 'earnings', 'loss')} AND ({_has('per_share')} OR m LIKE '%_eps')", "basic_eps"),
+    (f"{_has('net')} AND {_has('income', 'earnings', 'loss')} AND ({_has('per_share')} OR right(m, 4) = '_eps') AND {_has('diluted')}", "diluted_eps"),
+    (f"{_has('net')} AND {_has('income', 'earnings', 'loss')} AND ({_has('per_share')} OR right(m, 4) = '_eps')", "basic_eps"),
     (f"{_has('net')} AND {_has('income', 'earnings', 'loss')}", "net_income"),
-    (f"({_has('revenue')} OR m = 'sales' OR m LIKE '%_sales') AND NOT {_has('cost')}", "total_revenue"),
+    (f"({_has('revenue')} OR m = 'sales' OR right(m, 6) = '_sales') AND NOT {_has('cost')}", "total_revenue"),
     (f"{_has('diluted')} AND {_has('eps', 'per_share')}", "diluted_eps"),
     (f"{_has('basic')} AND {_has('eps', 'per_share')}", "basic_eps"),
     (f"{_has('diluted')} AND {_has('share')}", "diluted_shares"),

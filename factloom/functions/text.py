@@ -180,5 +180,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def operands(program: Column) -> Column:
     """Numbers and const_N of an arithmetic program, in order; N may be m1 for -1."""
-    found = F.regexp_extract_all(program, F.lit(r"const_m?\d+|-?\d+(?:\.\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(program, F.lit(r"const_m?\d+(?:\.\d+)?|-?\d+(?:\.\d+)?"), F.lit(0))
     return F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, "const_", ""), "^m", "-").try_cast("double"))

@@ -48,13 +48,18 @@ def margins(cells: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv])
     rev = cells.where("metric = 'total_revenue' and value <> 0").select("ticker", "year", F.col("value").alias("rev"))
     num = cells.where(F.col("metric").isin(*MARGINS)).join(rev, ["ticker", "year"])
-    return num.select("ticker", names[F.col("metric")].alias("metric"), "year", F.round(F.col("value") / F.col("rev") * 100, 6).alias("value"))
+    return num.select("ticker", names[F.col("metric")].alias("metric"), "year", (F.col("value") / F.col("rev") * 100).alias("value"))
 
 
 def margin_pairs(cells: DataFrame) -> DataFrame:
-    """L2."""
+    """L2: margins are compared and subtracted as they are, and only the difference is rounded."""
     p = _pairs(margins(usable(cells)), ["metric", "year"]).where("value_a <> value_b")
-    return p.select("metric", "year", "company_a", "company_b", F.round(F.col("value_a") - F.col("value_b"), 4).alias("difference"), winner())
+    return p.select("metric", "year", "company_a", "company_b", places(F.col("value_a") - F.col("value_b")).alias("difference"), winner())
+
+
+def places(c: Column, n: int = 4) -> Column:
+    """c to n decimal places, half up, through a decimal: a tie is one however the double was come by."""
+    return F.round(c.cast("decimal(38,9)"), n).cast("double")
 
 
 def growth_pairs(cells: DataFrame, metric: str = "total_revenue") -> DataFrame:
@@ -64,8 +69,8 @@ def growth_pairs(cells: DataFrame, metric: str = "total_revenue") -> DataFrame:
         F.min("year").alias("start_year"), F.max("year").alias("end_year"),
         *[F.min_by(f"value_{s}", "year").alias(f"s{s}") for s in "ab"], *[F.max_by(f"value_{s}", "year").alias(f"e{s}") for s in "ab"],
     ).where("start_year < end_year and sa <> 0 and sb <> 0")
-    g = g.select("*", *[F.round((F.col(f"e{s}") - F.col(f"s{s}")) / F.abs(f"s{s}") * 100, 4).alias(f"value_{s}") for s in "ab"])
-    return g.select("company_a", "company_b", "start_year", "end_year", F.col("value_a").alias("growth_a"), F.col("value_b").alias("growth_b"), winner())
+    g = g.select("*", *[((F.col(f"e{s}") - F.col(f"s{s}")) / F.abs(f"s{s}") * 100).alias(f"value_{s}") for s in "ab"])
+    return g.select("company_a", "company_b", "start_year", "end_year", places(F.col("value_a")).alias("growth_a"), places(F.col("value_b")).alias("growth_b"), winner())
 
 
 def year_over_year(cells: DataFrame) -> DataFrame:
@@ -110,6 +115,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if base is None:
             import tempfile
 

@@ -42,7 +42,7 @@ def score(traces: DataFrame, normalise: bool = False) -> DataFrame:
     t = slots(traces, normalise)
     hit = F.coalesce(F.abs(F.col("best") - F.col("expected")) <= tolerance(F.col("expected"), F.col("level") == 0), F.lit(False))
     form = (F.col("answer") != "") & (F.col("calculation") != "")
-    calc = F.col("calculation").rlike(CALCULATION)
+    calc = F.lower("calculation").rlike(CALCULATION)
     t = t.select("*", hit.alias("numeric_ok"), form.alias("format_ok"), calc.alias("calculation_ok"), closeness(F.col("best"), F.col("expected")).alias("nc"))
     right = F.col("numeric_ok") & F.col("format_ok") & F.col("calculation_ok")
     reason = F.when(right, "none").when(~F.col("format_ok"), "answer_format_error").when(~F.col("numeric_ok"), "formula_target_mismatch").otherwise("scoring_uncertain")
@@ -66,3 +66,22 @@ def targets_of(answer: Column, sources: Column) -> Column:
     fresh = F.filter(text.numbers_in(answer), lambda v: ~F.exists(sources, lambda s: F.abs(s - v) <= 0.01 * F.greatest(F.abs(s), F.lit(1.0))))
     start = F.array().cast("array<double>")
     return F.aggregate(fresh, start, lambda acc, v: F.when(F.exists(acc, lambda x: F.abs(x - v) <= 0.001 * F.greatest(F.abs(v), F.lit(1.0))), acc).otherwise(F.concat(acc, F.array(v))))
+
+
+def token_f1(texts: DataFrame, gold: DataFrame, row: str, key: str) -> DataFrame:
+    """(row, f1): token F1 of each of texts (row, key, text) against gold's text of the same key, whole texts, to four places.
+
+    Tokens are runs of a-z and 0-9 in lower case, counted with repeats: per text before they meet those of gold, so that
+    no two texts are compared token by token. Two texts without tokens have 0.
+    """
+
+    def tokens(df: DataFrame) -> DataFrame:
+        return df.withColumn("w", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+
+    t, g = tokens(texts).select(row, key, "w"), tokens(gold).select(key, "w")
+    total = t.select(row, key, F.size("w").alias("n")).join(g.select(key, F.size("w").alias("m")), key)
+    have = t.select(row, key, F.explode("w").alias("w")).groupBy(row, key, "w").agg(F.count("*").alias("x"))
+    want = g.select(key, F.explode("w").alias("w")).groupBy(key, "w").agg(F.count("*").alias("y"))
+    common = have.join(want, [key, "w"]).groupBy(row).agg(F.sum(F.least("x", "y")).alias("c"))
+    f1 = F.round(F.try_divide(2.0 * F.coalesce("c", F.lit(0)), F.col("n") + F.col("m")), 4)
+    return total.join(common, row, "left").select(row, F.coalesce(f1, F.lit(0.0)).alias("f1"))

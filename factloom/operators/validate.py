@@ -48,7 +48,10 @@ def relabel(df: DataFrame, c: str, names: dict[str, str], default: str, out: str
 
 
 def first_reason(obs: DataFrame, most: int = 20) -> DataFrame:
-    """The first ``most`` observations of each case with the first reason that speaks against each, or null."""
+    """The first ``most`` observations of each case with the first reason that speaks against each, or null.
+
+    A null unit is no unit, and a quote that is null or white space is empty.
+    """
     by = Window.partitionBy("case_id").orderBy("raw_metric", "year", "ordinal", "value")
     o = obs.withColumn("slug", metrics.slug(F.col("raw_metric"))).withColumn("i", F.row_number().over(by)).where(F.col("i") <= most)
     artifact = F.lit(False)
@@ -59,8 +62,8 @@ def first_reason(obs: DataFrame, most: int = 20) -> DataFrame:
         .when(F.length("slug") < 4, "metric_too_short")
         .when(F.col("year").isNull() | ~F.col("year").between(2000, 2030), "year_out_of_range")
         .when(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")), "invalid_value")
-        .when(~F.col("unit").isin(*text.UNITS), "invalid_unit")
-        .when(F.col("quote") == "", "empty_evidence_quote")
+        .when(~F.coalesce("unit", F.lit("")).isin(*text.UNITS), "invalid_unit")
+        .when(F.regexp_replace(F.coalesce("quote", F.lit("")), r"\s", "") == "", "empty_evidence_quote")
     )
     o = o.withColumn("r", reason)
     again = F.row_number().over(Window.partitionBy("case_id", "slug", "year", "r").orderBy("i")) > 1

@@ -39,10 +39,10 @@ def _(spark, d):
     return pairs.direct_pairs(pairs.last_value(fx.facts_raw(spark, d)))
 
 
-MARGIN_SQL = f"m AS (SELECT n.ticker, CASE n.metric WHEN 'gross_profit' THEN 'gross_margin' WHEN 'operating_income' THEN 'operating_margin' ELSE 'net_margin' END AS metric, n.year, round(n.value / r.value * 100, 6) AS value FROM facts n JOIN facts r USING (ticker, year) WHERE r.metric = 'total_revenue' AND r.value <> 0 AND n.metric IN ('gross_profit', 'operating_income', 'net_income'))"
+MARGIN_SQL = f"m AS (SELECT n.ticker, CASE n.metric WHEN 'gross_profit' THEN 'gross_margin' WHEN 'operating_income' THEN 'operating_margin' ELSE 'net_margin' END AS metric, n.year, n.value / r.value * 100 AS value FROM facts n JOIN facts r USING (ticker, year) WHERE r.metric = 'total_revenue' AND r.value <> 0 AND n.metric IN ('gross_profit', 'operating_income', 'net_income'))"
 
 
-@query("j11_margin_pairs", f"WITH {FACTS}, {MARGIN_SQL} SELECT a.metric, a.year, a.ticker AS company_a, b.ticker AS company_b, round(a.value - b.value, 4) AS difference, CASE WHEN a.value > b.value THEN a.ticker ELSE b.ticker END AS winner FROM m a JOIN m b USING (metric, year) WHERE a.ticker < b.ticker AND a.value <> b.value")
+@query("j11_margin_pairs", f"WITH {FACTS}, {MARGIN_SQL} SELECT a.metric, a.year, a.ticker AS company_a, b.ticker AS company_b, CAST(round(CAST(a.value - b.value AS DECIMAL(38,9)), 4) AS DOUBLE) AS difference, CASE WHEN a.value > b.value THEN a.ticker ELSE b.ticker END AS winner FROM m a JOIN m b USING (metric, year) WHERE a.ticker < b.ticker AND a.value <> b.value")
 def _(spark, d):
     return pairs.margin_pairs(fx.facts(spark, d))
 
@@ -51,8 +51,8 @@ def _(spark, d):
     "j12_growth_pairs",
     f"""WITH {FACTS}, r AS (SELECT ticker, year, value FROM facts WHERE metric = 'total_revenue' AND {NOT_YEAR}), p AS (SELECT a.ticker AS company_a, b.ticker AS company_b, year, a.value AS va, b.value AS vb FROM r a JOIN r b USING (year) WHERE a.ticker < b.ticker),
     g AS (SELECT company_a, company_b, min(year) AS start_year, max(year) AS end_year, min_by(va, year) AS sa, max_by(va, year) AS ea, min_by(vb, year) AS sb, max_by(vb, year) AS eb FROM p GROUP BY ALL HAVING min(year) < max(year)),
-    h AS (SELECT *, round((ea - sa) / abs(sa) * 100, 4) AS growth_a, round((eb - sb) / abs(sb) * 100, 4) AS growth_b FROM g WHERE sa <> 0 AND sb <> 0)
-    SELECT company_a, company_b, start_year, end_year, growth_a, growth_b, CASE WHEN growth_a > growth_b THEN company_a ELSE company_b END AS winner FROM h""",
+    h AS (SELECT *, (ea - sa) / abs(sa) * 100 AS ga, (eb - sb) / abs(sb) * 100 AS gb FROM g WHERE sa <> 0 AND sb <> 0)
+    SELECT company_a, company_b, start_year, end_year, CAST(round(CAST(ga AS DECIMAL(38,9)), 4) AS DOUBLE) AS growth_a, CAST(round(CAST(gb AS DECIMAL(38,9)), 4) AS DOUBLE) AS growth_b, CASE WHEN ga > gb THEN company_a ELSE company_b END AS winner FROM h""",
 )
 def _(spark, d):
     return pairs.growth_pairs(fx.facts(spark, d))
@@ -285,13 +285,13 @@ COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS
 
 
 def hits_sql(k: int) -> str:
-    return f"hits AS (SELECT q.vec_id AS query_id, q.label AS entity, c.vec_id AS chunk_id, c.label AS source, {COS} AS s, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS INTEGER) AS rank FROM embeddings q JOIN embeddings c ON c.vec_id >= 50 WHERE q.vec_id < 50 QUALIFY rank <= {k})"
+    return f"hits AS (SELECT q.vec_id AS query_id, q.label AS entity, c.vec_id AS chunk_id, c.label AS source, {COS} AS s, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS INTEGER) AS rank FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 20 = 0 QUALIFY rank <= {k})"
 
 
 def hits(spark, d, k):
     e = fx.read(spark, d, "embeddings")
-    queries = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("label").alias("entity"), "embedding")
-    return vectors.top_k(queries, e.where("vec_id >= 50").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("source"), "embedding"), k)
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("entity"), "embedding")
+    return vectors.top_k(queries, e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("source"), "embedding"), k)
 
 
 @query("j13_top_k_retrieval", f"WITH {hits_sql(12)} SELECT query_id, rank, chunk_id, round(s, 6) AS score FROM hits")
@@ -306,10 +306,10 @@ def _(spark, d):
 
 @query(
     "j14_per_entity_retrieval",
-    f"WITH {hits_sql(8)}, u AS (SELECT query_id // 2 AS case_id, query_id % 2 AS side, chunk_id, rank FROM hits) SELECT case_id, chunk_id, side, rank FROM u QUALIFY row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY side, rank) = 1",
+    f"WITH {hits_sql(8)}, u AS (SELECT query_id // 40 AS case_id, query_id // 20 % 2 AS side, chunk_id, rank FROM hits) SELECT case_id, chunk_id, side, rank FROM u QUALIFY row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY side, rank) = 1",
 )
 def _(spark, d):
-    h = hits(spark, d, 8).select(F.floor(F.col("query_id") / 2).alias("case_id"), (F.col("query_id") % 2).alias("side"), "chunk_id", "rank")
+    h = hits(spark, d, 8).select(F.floor(F.col("query_id") / 40).alias("case_id"), F.floor(F.col("query_id") % 40 / 20).alias("side"), "chunk_id", "rank")
     first = F.row_number().over(Window.partitionBy("case_id", "chunk_id").orderBy("side", "rank"))
     return h.withColumn("_r", first).where("_r = 1").drop("_r")
 
@@ -329,10 +329,11 @@ def _(spark, d):
 
 @query(
     "j16_guided_lookup",
-    "WITH s AS (SELECT DISTINCT o_custkey AS case_id, o_orderkey % 200 AS doc_id FROM orders WHERE o_custkey <= 200) SELECT case_id, count(*) AS sources, CAST(sum(length(left(text, 7000))) AS BIGINT) AS chars, substr(sha256(string_agg(left(text, 7000), chr(10) ORDER BY doc_id)), 1, 16) AS context FROM s JOIN documents USING (doc_id) GROUP BY case_id",
+    "WITH s AS (SELECT DISTINCT o_custkey AS case_id, o_orderkey % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM orders) SELECT case_id, count(*) AS sources, CAST(sum(length(left(text, 7000))) AS BIGINT) AS chars, substr(sha256(string_agg(left(text, 7000), chr(10) ORDER BY doc_id)), 1, 16) AS context FROM s JOIN documents USING (doc_id) GROUP BY case_id",
 )
 def _(spark, d):
-    s = fx.read(spark, d, "orders").where("o_custkey <= 200").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 200).alias("doc_id")).distinct()
+    n = fx.read(spark, d, "documents").agg(F.max("doc_id") + 1).first()[0] or 1
+    s = fx.read(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % n).alias("doc_id")).distinct()
     t = s.join(fx.read(spark, d, "documents").select("doc_id", F.left("text", F.lit(7000)).alias("t")), "doc_id")
     c = t.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("p"))
     joined = F.array_join("p.t", "\n")
@@ -380,7 +381,7 @@ def _(spark, d):
     return wanted.join(cache, "key", "left").fillna(False, ["hit"])
 
 
-GEO = "geo AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst, 'HAS' AS type FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'LIVES' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'ORDERED' FROM orders WHERE o_custkey % 10 = 0)"
+GEO = "geo AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst, 'HAS' AS type FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'LIVES' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'ORDERED' FROM orders)"
 
 
 @query(
@@ -391,8 +392,8 @@ GEO = "geo AS (SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst, 'HAS
 def _(spark, d):
     e = lambda t, a, b, k: t.select(F.concat(F.lit(a[0]), a[1:]).alias("src"), F.concat(F.lit(b[0]), b[1:]).alias("dst"), F.lit(k).alias("type"))
     nation = e(fx.read(spark, d, "nation"), "rn_regionkey", "nn_nationkey", "HAS")
-    customer = e(fx.read(spark, d, "customer").where("c_custkey % 10 = 0"), "nc_nationkey", "cc_custkey", "LIVES")
-    orders = e(fx.read(spark, d, "orders").where("o_custkey % 10 = 0"), "co_custkey", "oo_orderkey", "ORDERED")
+    customer = e(fx.read(spark, d, "customer"), "nc_nationkey", "cc_custkey", "LIVES")
+    orders = e(fx.read(spark, d, "orders"), "co_custkey", "oo_orderkey", "ORDERED")
     p = graph.paths(nation.unionByName(customer).unionByName(orders), spark.createDataFrame([("r0",), ("r1",)], "id string"))
     return p.select("node", F.array_join("path", ">").alias("path"), F.array_join("relations", ">").alias("relations"))
 

@@ -30,7 +30,10 @@ def query(name: str, sql: str | None = None):
 
 def folder(spark) -> str:
     """A new folder that driver and executors share: in the one the session names, else, in tests, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="factloom-")
     return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
@@ -54,11 +57,11 @@ def _(spark, d):
     return u.withColumn("evidence", io.unwrap_references("evidence"))
 
 
-@query("io3_flattened_questions", "SELECT l_orderkey AS uid, l_linenumber AS q, string_agg(l_orderkey || ' | ' || n || ' | ' || f, chr(10) ORDER BY n, f) OVER (PARTITION BY l_orderkey) AS lines FROM (SELECT l_orderkey, l_linenumber, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_orderkey % 5 = 0)")
+@query("io3_flattened_questions", "SELECT l_orderkey AS uid, l_linenumber AS q, string_agg(l_orderkey || ' | ' || n || ' | ' || f, chr(10) ORDER BY n, f) OVER (PARTITION BY l_orderkey) AS lines FROM (SELECT l_orderkey, l_linenumber, l_linenumber AS n, l_returnflag AS f FROM lineitem)")
 def _(spark, d):
     path = folder(spark)
     row = F.struct(F.col("l_linenumber").alias("n"), F.array(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "l_returnflag").alias("r"))
-    docs = fx.read(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").alias("uid")).agg(F.array_sort(F.collect_list(row)).alias("t"))
+    docs = fx.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("uid")).agg(F.array_sort(F.collect_list(row)).alias("t"))
     docs.select("uid", F.col("t.r").alias("table"), F.transform("t.n", lambda n: F.struct(n.alias("q"))).alias("questions")).write.json(path)
     r = spark.read.schema("uid long, table array<array<string>>, questions array<struct<q:int>>").json(path)
     return r.select("uid", F.explode("questions.q").alias("q"), io.linearise("table").alias("lines"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, text
-from ..operators import validate
+from ..operators import score, validate
 from ..sources import fixtures as fx
 from .shapes import FACTS, OBSERVATIONS, TRACES
 
@@ -198,17 +198,17 @@ def _(spark, d):
     return pairs.withColumn("matches", text.metric_matches(F.col("a"), F.col("b")))
 
 
-F1_SQL = """CASE WHEN len(x) + len(y) > 0 THEN round(2.0 * coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda t: t = w)), len(list_filter(y, lambda t: t = w))))), 0) / (len(x) + len(y)), 4) ELSE 0.0 END"""
-
-
 @query(
     "sf14_token_f1",
-    f"WITH s AS (SELECT doc_id, regexp_extract_all(lower(left(d.text, 400)), '[a-z0-9]+') AS x, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS y FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id) SELECT doc_id, CAST({F1_SQL} AS DOUBLE) AS f1 FROM s",
+    """WITH x AS (SELECT doc_id, doc_id % 40 AS item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), y AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
+    nx AS (SELECT doc_id, item_id, w, count(*) AS n FROM x GROUP BY ALL), ny AS (SELECT item_id, w, count(*) AS n FROM y GROUP BY ALL), c AS (SELECT doc_id, sum(least(nx.n, ny.n)) AS c FROM nx JOIN ny USING (item_id, w) GROUP BY doc_id),
+    tx AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id), ty AS (SELECT item_id, count(*) AS n FROM y GROUP BY item_id)
+    SELECT d.doc_id, CAST(coalesce(round(2.0::DOUBLE * coalesce(c, 0) / nullif(coalesce(tx.n, 0) + coalesce(ty.n, 0), 0), 4), 0) AS DOUBLE) AS f1
+    FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN tx ON tx.doc_id = d.doc_id LEFT JOIN ty ON ty.item_id = b.item_id""",
 )
 def _(spark, d):
-    b = fx.read(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
-    s = fx.read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.left("text", F.lit(400)).alias("text")).join(b, "item_id")
-    return s.select("doc_id", text.token_f1(F.col("text"), F.col("gold")).alias("f1"))
+    gold = fx.read(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
+    return score.token_f1(fx.read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("key"), "text"), gold, "doc_id", "key")
 
 
 @query(
@@ -295,11 +295,11 @@ def _(spark, d):
 
 @query(
     "sf21_program_operands",
-    r"""WITH p AS (SELECT o_orderkey, 'subtract(' || o_totalprice || ', const_100), divide(#0, const_m1)' AS t FROM orders)
-    SELECT o_orderkey, list_transform(regexp_extract_all(t, 'const_m?\d+|-?\d+(?:\.\d+)?'), lambda x: TRY_CAST(regexp_replace(regexp_replace(x, 'const_', ''), '^m', '-') AS DOUBLE)) AS operands FROM (SELECT o_orderkey, replace(t, '#0', 'x') AS t FROM p)""",
+    r"""WITH p AS (SELECT o_orderkey, 'subtract(' || o_totalprice || ', const_100), divide(#0, const_m1), add(#0, const_1.5)' AS t FROM orders)
+    SELECT o_orderkey, list_transform(regexp_extract_all(t, 'const_m?\d+(?:\.\d+)?|-?\d+(?:\.\d+)?'), lambda x: TRY_CAST(regexp_replace(regexp_replace(x, 'const_', ''), '^m', '-') AS DOUBLE)) AS operands FROM (SELECT o_orderkey, replace(t, '#0', 'x') AS t FROM p)""",
 )
 def _(spark, d):
-    p = F.concat(F.lit("subtract("), F.format_string("%s", F.col("o_totalprice").cast("string")), F.lit(", const_100), divide(x, const_m1)"))
+    p = F.concat(F.lit("subtract("), F.format_string("%s", F.col("o_totalprice").cast("string")), F.lit(", const_100), divide(x, const_m1), add(x, const_1.5)"))
     return fx.read(spark, d, "orders").select("o_orderkey", text.operands(p).alias("operands"))
 
 
