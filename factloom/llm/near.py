@@ -32,7 +32,7 @@ from .tokens import mix, pair, pieces, word_hashes
 
 #: Bytes of text for each bucket of signatures; signatures that a task gathers before it sends them; sets of one block,
 #: and sketches of one.
-BUCKET_BYTES, HELD, BLOCK, SKETCH_BLOCK = 16 << 20, 2_000_000, 512, 2048
+BUCKET_BYTES, HELD, BLOCK, SKETCH_BLOCK = 12 << 20, 1_200_000, 512, 2048
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from .tokens import mix
 
 MIN, K = 50, 12
 #: Bytes that a task looks at together, and bytes of text for each bucket of segments.
-CHUNK, BUCKET_BYTES = 3 << 19, 12 << 20
+CHUNK, BUCKET_BYTES = 3 << 19, 6 << 20
 #: Bytes of one transform: a bucket's segments are dealt to as many as they need, again by minimizer.
 TRANSFORM = 1 << 20
 LAST = (1 << 63) - 1
@@ -347,8 +347,10 @@ def removed_spans(docs: DataFrame, least: int = MIN, k: int = K) -> DataFrame:
             at += int(size.sum())
         found = [_unpack_spans(b) for b in done["blob"]]
         if parts:
-            buf = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
-            found.append(meet(buf, *[np.concatenate(c) for c in zip(*parts)], least=least, k=k))
+            buf = np.frombuffer(b"".join([*texts, bytes(64)]), np.uint8)
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            del texts, parts  # held once, not twice, while they are searched
+            found.append(meet(buf, *columns, least=least, k=k))
         doc, key, start, stop = (np.concatenate(c) for c in zip(*found))
         b = (mix(doc.view(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((start, key, doc, b))
