@@ -14,12 +14,12 @@ DICTIONARY = {
     "operating_income": ("operating income", "income from operations", "operating earnings", "loss from operations", "operating income loss"),
     "operating_expense": ("operating expenses", "total operating expenses", "opex"),
     "net_income": ("net income", "net earnings", "net income loss", "net loss", "net earnings loss"),
-    "net_income_attributable_common": ("net income available to common shares", "net income attributable to common shareholders"),
+    "net_income_attributable_common": ("net income available to common shares", "net income attributable to common shareholders", "net income attributable to common stockholders"),
     "research_and_development_expense": ("research and development", "research and development expense", "research and development expenses", "r&d", "rd"),
-    "selling_general_admin_expense": ("selling general and administrative", "selling general and administrative expense", "general and administrative"),
+    "selling_general_admin_expense": ("selling general and administrative", "selling general and administrative expense", "general and administrative", "sales and marketing", "sg&a", "sga"),
     "interest_expense": ("interest expense", "interest income expense net", "interest expense net"),
     "income_tax_expense": ("provision for income taxes", "income tax expense", "provision for taxes", "tax provision", "income taxes"),
-    "income_before_taxes": ("income before taxes", "earnings before taxes", "income before provision for income taxes", "income loss before income taxes"),
+    "income_before_taxes": ("income before taxes", "earnings before taxes", "income before provision for income taxes", "income loss before income taxes", "ebt"),
     "total_assets": ("total assets",),
     "total_liabilities": ("total liabilities",),
     "stockholders_equity": ("stockholders equity", "shareholders equity", "total equity", "total stockholders equity"),
@@ -45,6 +45,10 @@ DICTIONARY = {
 }
 
 
+# Slugs that name no metric, and so does whatever begins like the first.
+BLOCKED = ("source_value", "program_operand", "operand", "value", "amount", "number")
+
+
 def _has(*words: str) -> str:
     return "(" + " OR ".join(f"contains(m, '{w}')" for w in words) + ")"
 
@@ -90,10 +94,14 @@ def dictionary(spark: SparkSession) -> DataFrame:
 
 
 def canonical(df: DataFrame, raw: str = "raw_metric", out: str = "metric") -> DataFrame:
-    """df with the canonical metric of ``raw``: the dictionary, then the rules, else null. The dictionary has a fixed size."""
+    """df with the canonical metric of ``raw``: the dictionary, then the rules, else null, as where the name is blocked.
+
+    The dictionary has a fixed size.
+    """
     d = F.broadcast(dictionary(df.sparkSession).withColumnRenamed("alias", "m"))
     with_slug = df.withColumn("m", slug(F.col(raw))).join(d, "m", "left")
-    return with_slug.withColumn(out, F.coalesce("canonical", F.expr(RULE_SQL))).drop("m", "canonical")
+    blocked = F.col("m").isin("", *BLOCKED) | F.col("m").startswith(BLOCKED[0])
+    return with_slug.withColumn(out, F.when(~blocked, F.coalesce("canonical", F.expr(RULE_SQL)))).drop("m", "canonical")
 
 
 _VALUES = ", ".join(f"({n}, '{k}', '{a}')" for n, (k, v) in enumerate(DICTIONARY.items()) for a in (k, *v))

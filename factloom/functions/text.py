@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 NUMBER = r"\(?\$?\s*-?\d[\d,]*(?:\.\d+)?\)?\s*%?"
 PLAIN_NUMBER = r"\d[\d,]*(?:\.\d+)?"
 YEAR = r"\b(19[89]\d|20[0-3]\d)\b"
+BONUS = r"(?i)\b(margin|ratio|percent|percentage|growth|change|increase|decrease|divided|per share)\b"
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SCALES = (("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
 UNITS = ("currency_millions", "currency_billions", "count", "percentage", "ratio", "currency_per_share")
 ARTIFACTS = ("at_the_", "during_the_", "_of_", "march_", "june_", "december_", "generation_x", "birth_year")
@@ -26,6 +28,11 @@ FORMULA_SQL = """CASE WHEN contains(q, 'gross margin') THEN 'gross_margin' WHEN
   WHEN contains(q, 'income') AND contains(q, 'operating') THEN 'income_vs_ops' ELSE 'other' END"""
 
 
+def strip(c: Column) -> Column:
+    """c without white space of any kind around it."""
+    return F.trim(c, F.lit(WHITE))
+
+
 def number_of(token: Column) -> Column:
     """The double of one token: parentheses around all of it negate, ``$ , %`` go; null where that is no number."""
     t = F.trim(token)
@@ -60,6 +67,22 @@ def numbers_in(text: Column) -> Column:
     return F.array_distinct(F.transform(F.flatten(both), lambda v: F.round(v, 8)))
 
 
+def signed_numbers(text: Column) -> Column:
+    """Distinct numbers in a text in first-seen order, years and signs included.
+
+    Parentheses around one negate it; a percentage counts also as its hundredth.
+    """
+
+    def values(token: Column) -> Column:
+        t = strip(token)
+        v = F.replace(F.trim(t, F.lit("()%$ ")), F.lit(","), F.lit("")).try_cast("double")
+        v = F.when(t.startswith("(") & t.endswith(")"), -v).otherwise(v)
+        return F.when(t.endswith("%"), F.array(v, v / 100)).otherwise(F.array(v))
+
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(F.flatten(F.transform(found, values)), lambda v: v.isNotNull()), lambda v: F.round(v, 8)))
+
+
 def years_in(text: Column) -> Column:
     """Distinct years in a text, first seen first."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")))
@@ -116,12 +139,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def metric_matches(a: Column, b: Column) -> Column:
-    """Equal, one within the other, or min(2, n) shared words of four letters and more."""
+def metric_matches(required: Column, got: Column) -> Column:
+    """Names in lower case with underscores: equal, one within the other, or min(2, n) shared words.
+
+    Words have four letters or more, and n is how many of them ``required`` has. An empty name matches nothing.
+    """
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
     long_ = lambda c: F.array_distinct(F.filter(F.split(c, "_"), lambda w: F.length(w) >= 4))
-    x, y = long_(a), long_(b)
-    n = F.size(F.array_intersect(x, y))
-    return F.contains(a, b) | F.contains(b, a) | ((n > 0) & (n >= F.least(F.lit(2), F.size(x), F.size(y))))
+    a, b = bare(required), bare(got)
+    x = long_(a)
+    words = (F.size(x) > 0) & (F.size(F.array_intersect(x, long_(b))) >= F.least(F.lit(2), F.size(x)))
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | words)
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -140,16 +168,15 @@ def number_overlap(numbers: Column, gold: Column) -> Column:
 
 
 def quality(reasoning: Column, text: Column, question: Column, answer: Column) -> Column:
-    """Weight of the reasoning, and capped shares of numbers, years and length, and points for ratios and numeric answers."""
-    weight = F.when(reasoning == "Calculation", 3.0).when(reasoning == "Compositional", 2.8).when(reasoning == "Subtraction", 2.4).otherwise(1.0)
-    both = F.lower(F.concat_ws(" ", question, answer))
-    ratio = F.when(F.contains(both, F.lit("ratio")) | F.contains(both, F.lit("growth")) | F.contains(both, F.lit("margin")), 2.0).otherwise(0.0)
+    """Weight of the reasoning, capped shares of numbers, years and length, and points for words of change and numeric answers."""
+    kind = F.trim(F.coalesce(reasoning, F.lit("")))
+    weight = F.when(kind == "Calculation", 3.0).when(kind == "Compositional", 2.8).when(kind.isin("Subtraction", "Subtract"), 2.4).otherwise(1.0)
     return F.round(
         weight
         + F.least(F.lit(4.0), F.regexp_count(text, F.lit(PLAIN_NUMBER)) / 8.0)
         + F.least(F.lit(3.0), F.lit(0.8) * F.size(years_in(F.concat_ws(" ", text, question))))
         + F.least(F.lit(2.0), F.length(text) / 1200.0)
-        + ratio
+        + F.when(F.concat_ws(" ", question, answer).rlike(BONUS), 2.0).otherwise(0.0)
         + F.when(parse_number(answer).isNotNull(), 2.0).otherwise(0.0),
         4,
     )
@@ -164,11 +191,19 @@ def verdict_of(text: Column) -> Column:
 
 
 def chunks(text: Column, size: int = 1200, overlap: int = 150) -> Column:
-    """array of (i, start, chunk): windows of ``size`` characters, each ``overlap`` before the last one's end; blank ones go."""
-    n, step = F.length(text), size - overlap
+    """array of (i, start, end, chunk): windows of ``size`` characters, each begun ``overlap`` before the last one's end.
+
+    The text loses the white space around it first, and so does each chunk, which keeps its place; blank ones go.
+    """
+    t = strip(text)
+    n, step = F.length(t), size - overlap
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
-    all_ = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("i"), (i * step).alias("start"), F.substring(text, i * step + 1, F.lit(size)).alias("chunk")))
-    return F.filter(F.when(n > 0, all_).otherwise(F.slice(all_, 1, 0)), lambda c: F.trim(c["chunk"]) != "")
+
+    def window(i: Column) -> Column:
+        return F.struct(i.alias("i"), (i * step).alias("start"), F.least(n, i * step + size).alias("end"), strip(F.substring(t, i * step + 1, F.lit(size))).alias("chunk"))
+
+    all_ = F.transform(F.sequence(F.lit(0), count - 1), window)
+    return F.filter(F.when(n > 0, all_).otherwise(F.slice(all_, 1, 0)), lambda c: c["chunk"] != "")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def tolerance_matches(required: DataFrame, observed: DataFrame) -> DataFrame:
     """(ticker, metric, year, matches): observations of the same ticker and year whose metric contains the other and value is near."""
@@ -23,10 +25,14 @@ def extraction_status(required: DataFrame, extracted: DataFrame) -> DataFrame:
 
 
 def recall(required: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
-    """Share of required facts that an observation of the same cell meets within 1 %."""
-    j = required.join(observed.select("ticker", "metric", "year", "value"), ["ticker", "metric", "year"], "left")
-    hit = F.coalesce(F.bool_or(F.abs(F.col("value") - F.col("expected")) <= 0.01 * F.abs("expected")), F.lit(False))
-    return j.groupBy("ticker", "metric", "year").agg(hit.cast("double").alias("hit")).groupBy(*by).agg(F.round(F.avg("hit"), 4).alias("recall"))
+    """Share of required facts that an observation of the same ticker and year meets.
+
+    Its metric must match by name, and its value be within 1 % of the larger of both, or within 0.01.
+    """
+    j = required.join(observed.select("ticker", "year", F.col("metric").alias("m"), "value"), ["ticker", "year"], "left")
+    met = text.metric_matches(F.col("metric"), F.col("m")) & text.close(F.col("expected"), F.col("value"), 0.01, 0.01)
+    hit = F.coalesce(F.bool_or(met), F.lit(False)).cast("double").alias("hit")
+    return j.groupBy("ticker", "metric", "year").agg(hit).groupBy(*by).agg(F.round(F.avg("hit"), 4).alias("recall"))
 
 
 def triage(df: DataFrame) -> DataFrame:

@@ -81,3 +81,12 @@ def census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     target = nodes.select(F.col("id").alias("dst"), F.col("label").alias("target"))
     e = edges.join(target, "dst").groupBy(F.col("type").alias("kind"), "target").agg(F.count("*").alias("n"))
     return n.unionByName(e)
+
+
+def coverage_cells(facts: DataFrame, most: int) -> DataFrame:
+    """The cells (metric, year) that most companies share, two at least, each row with the totals over all facts and cells."""
+    cells = facts.groupBy("metric", "year").agg(F.countDistinct("ticker").alias("companies"), F.count("*").alias("observations"))
+    total = facts.agg(F.countDistinct("ticker").alias("all_companies"), F.countDistinct("metric").alias("all_metrics"), F.count("*").alias("all_observations"))
+    shared = cells.where("companies >= 2")
+    total = total.crossJoin(F.broadcast(shared.agg(F.count("*").alias("comparable_cells"))))  # one row each
+    return shared.orderBy(F.desc("companies"), F.desc("observations"), "metric", "year").limit(most).crossJoin(F.broadcast(total))

@@ -22,11 +22,11 @@ def sample_per_stratum(df: DataFrame, stratum: str, key: str, seed: str, quotas:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(h, key))).where(F.col("place") <= want)
 
 
-def first_per_bucket(df: DataFrame, buckets: list[tuple[str, Column]], quota: int, order: str) -> DataFrame:
-    """Each row in the first bucket whose condition holds; the first ``quota`` rows of each."""
-    b = reduce(lambda acc, x: acc.when(x[1], x[0]), buckets[1:], F.when(buckets[0][1], buckets[0][0]))
-    d = df.withColumn("bucket", b).where("bucket is not null")
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where(F.col("place") <= quota)
+def first_per_bucket(df: DataFrame, buckets: list[tuple[str, Column, int]], order: str) -> DataFrame:
+    """Each row in the first bucket (name, condition, quota) whose condition holds; of each bucket the first rows up to its quota."""
+    name, quota = (reduce(lambda acc, x: acc.when(x[1], x[k]), buckets[1:], F.when(buckets[0][1], buckets[0][k])) for k in (0, 2))
+    d = df.withColumn("bucket", name).withColumn("_q", quota).where("bucket is not null")
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where("place <= _q").drop("_q")
 
 
 def first_source(frames: list[DataFrame], key: str) -> DataFrame:

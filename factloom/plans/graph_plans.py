@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, pairs, select, vectors
 from ..sources import fixtures as fx
 from .shapes import FACTS, TRACES
-from .text_plans import CASES_SQL, QUALITY_SQL, cases, evidence
+from .text_plans import CASES_SQL, QUALITY_SQL, cases, evidence, match_sql
 
 Q, SQL = {}, {}
 
@@ -133,12 +133,15 @@ def _(spark, d):
 
 @query(
     "w9_failure_samples",
-    f"""WITH {TRACES}, b AS (SELECT trace_id, CASE WHEN answer = '' THEN 'no_answer' WHEN calculation = '' THEN 'no_calculation' WHEN tokens > 50 THEN 'long' END AS bucket FROM traces)
-    SELECT trace_id, bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY trace_id) AS INTEGER) AS place FROM b WHERE bucket IS NOT NULL QUALIFY place <= 5""",
+    f"""WITH {TRACES}, b AS (SELECT trace_id, CASE WHEN answer <> '' AND calculation <> '' THEN NULL WHEN level = 0 AND method = 'm4' THEN 'hybrid' WHEN level = 0 AND method = 'm3' THEN 'graph' WHEN level = 0 AND method = 'm2' THEN 'gold'
+      WHEN level = 1 AND method IN ('m3', 'm4') THEN 'live' WHEN answer <> '' THEN 'no_calculation' END AS bucket FROM traces)
+    SELECT trace_id, bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY trace_id) AS INTEGER) AS place FROM b WHERE bucket IS NOT NULL QUALIFY place <= CASE bucket WHEN 'hybrid' THEN 3 WHEN 'no_calculation' THEN 1 ELSE 2 END""",
 )
 def _(spark, d):
-    b = [("no_answer", F.col("answer") == ""), ("no_calculation", F.col("calculation") == ""), ("long", F.col("tokens") > 50)]
-    return select.first_per_bucket(fx.traces(spark, d), b, 5, "trace_id").select("trace_id", "bucket", "place")
+    failed = (F.col("answer") == "") | (F.col("calculation") == "")
+    of = lambda level, *methods: failed & (F.col("level") == level) & F.col("method").isin(*methods)
+    buckets = [("hybrid", of(0, "m4"), 3), ("graph", of(0, "m3"), 2), ("gold", of(0, "m2"), 2), ("live", of(1, "m3", "m4"), 2), ("no_calculation", failed & (F.col("answer") != ""), 1)]
+    return select.first_per_bucket(fx.traces(spark, d), buckets, "trace_id").select("trace_id", "bucket", "place")
 
 
 @query(
@@ -273,7 +276,7 @@ def _(spark, d):
 
 @query(
     "j9_required_fact_recall",
-    f"""WITH {FACTS}, {REQ_SQL}, h AS (SELECT r.ticker, r.metric, r.year, coalesce(bool_or(abs(f.value - r.expected) <= 0.01 * abs(r.expected)), false) AS hit FROM req r LEFT JOIN facts f ON f.ticker = r.ticker AND f.year = r.year AND f.metric = r.metric GROUP BY ALL) SELECT ticker, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS recall FROM h GROUP BY ticker""",
+    f"""WITH {FACTS}, {REQ_SQL}, h AS (SELECT r.ticker, r.metric, r.year, coalesce(bool_or({match_sql('r.metric', 'f.metric')} AND abs(f.value - r.expected) <= greatest(0.01 * greatest(abs(f.value), abs(r.expected)), 0.01)), false) AS hit FROM req r LEFT JOIN facts f ON f.ticker = r.ticker AND f.year = r.year GROUP BY ALL) SELECT ticker, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS recall FROM h GROUP BY ticker""",
 )
 def _(spark, d):
     from ..operators import coverage

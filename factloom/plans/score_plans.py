@@ -241,10 +241,9 @@ def _(spark, d):
     return g.join(g.agg(F.bool_and(F.col("margin") > 0).alias("all_judges")))  # one row
 
 
-@query("ag6_coverage_cells", f"WITH {FACTS} SELECT metric, year, count(DISTINCT ticker) AS companies, count(*) AS observations FROM facts_raw GROUP BY ALL HAVING count(DISTINCT ticker) >= 2 ORDER BY companies DESC, observations DESC, metric, year LIMIT 20")
+@query("ag6_coverage_cells", f"WITH {FACTS} SELECT metric, year, count(DISTINCT ticker) AS companies, count(*) AS observations, (SELECT count(DISTINCT ticker) FROM facts_raw) AS all_companies, (SELECT count(DISTINCT metric) FROM facts_raw) AS all_metrics, (SELECT count(*) FROM facts_raw) AS all_observations, (SELECT count(*) FROM (SELECT 1 FROM facts_raw GROUP BY metric, year HAVING count(DISTINCT ticker) >= 2)) AS comparable_cells FROM facts_raw GROUP BY metric, year HAVING count(DISTINCT ticker) >= 2 ORDER BY companies DESC, observations DESC, metric, year LIMIT 20")
 def _(spark, d):
-    c = fx.facts_raw(spark, d).groupBy("metric", "year").agg(F.countDistinct("ticker").alias("companies"), F.count("*").alias("observations")).where("companies >= 2")
-    return c.orderBy(F.desc("companies"), F.desc("observations"), "metric", "year").limit(20)
+    return report.coverage_cells(fx.facts_raw(spark, d), 20)
 
 
 CONS = "c AS (SELECT metric, ticker, year, bool_and(abs(value - f) <= greatest(0.01 * abs(f), 0.1)) AS same FROM (SELECT *, first_value(value) OVER (PARTITION BY ticker, metric, year ORDER BY ordinal) AS f, count(*) OVER (PARTITION BY ticker, metric, year) AS n FROM facts_raw) WHERE n > 1 GROUP BY ALL)"

@@ -44,6 +44,18 @@ def ordered_distinct(expr: str) -> str:
 NUMBERS_SQL = ordered_distinct(NUMBERS.removeprefix("list_distinct_ordered(").removesuffix(")"))
 
 
+VALUE = "(CASE WHEN starts_with(trim(t), '(') AND ends_with(trim(t), ')') THEN -1 ELSE 1 END * TRY_CAST(replace(trim(t, '()%$ '), ',', '') AS DOUBLE))"
+SIGNED_SQL = ordered_distinct(
+    f"list_transform(list_filter(flatten(list_transform(regexp_extract_all({{0}}, {NUM_SQL}), lambda t: CASE WHEN ends_with(trim(t), '%') THEN [{VALUE}, {VALUE} / 100] ELSE [{VALUE}] END)), lambda v: v IS NOT NULL), lambda v: round(v, 8))"
+)
+
+
+def match_sql(a: str, b: str) -> str:
+    bare = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '_')"
+    x, y = (f"list_distinct(list_filter(string_split({bare(c)}, '_'), lambda w: length(w) >= 4))" for c in (a, b))
+    return f"({bare(a)} <> '' AND {bare(b)} <> '' AND (contains({bare(a)}, {bare(b)}) OR contains({bare(b)}, {bare(a)}) OR (len({x}) > 0 AND len(list_intersect({x}, {y})) >= least(2, len({x})))))"
+
+
 @query("sf1_metric_slug", f"WITH {OBSERVATIONS} SELECT DISTINCT raw_metric, {metrics.SLUG_SQL.format('raw_metric')} AS slug FROM observations")
 def _(spark, d):
     return fx.observations(spark, d).select("raw_metric").distinct().withColumn("slug", metrics.slug(F.col("raw_metric")))
@@ -51,12 +63,14 @@ def _(spark, d):
 
 @query(
     "sf2_canonical_metric",
-    f"WITH {OBSERVATIONS}, {metrics.DICT_SQL} SELECT o.raw_metric, coalesce(d.canonical, {metrics.RULE_SQL}) AS metric, count(*) AS n "
+    f"WITH {OBSERVATIONS}, {metrics.DICT_SQL} SELECT o.raw_metric, "
+    f"CASE WHEN m NOT IN ('', 'source_value', 'program_operand', 'operand', 'value', 'amount', 'number') AND NOT starts_with(m, 'source_value') THEN coalesce(d.canonical, {metrics.RULE_SQL}) END AS metric, count(*) AS n "
     f"FROM (SELECT raw_metric, {metrics.SLUG_SQL.format('raw_metric')} AS m FROM observations UNION ALL "
-    f"SELECT p_type, {metrics.SLUG_SQL.format('p_type')} FROM part) o LEFT JOIN dict d USING (m) GROUP BY ALL",
+    f"SELECT p_type, {metrics.SLUG_SQL.format('p_type')} FROM part UNION ALL SELECT 'source_value revenue ' || p_type, {metrics.SLUG_SQL.format("'source_value revenue ' || p_type")} FROM part) o LEFT JOIN dict d USING (m) GROUP BY ALL",
 )
 def _(spark, d):
-    names = fx.observations(spark, d).select("raw_metric").unionByName(fx.read(spark, d, "part").select(F.col("p_type").alias("raw_metric")))
+    kinds = fx.read(spark, d, "part").select(F.explode(F.array("p_type", F.concat(F.lit("source_value revenue "), "p_type"))).alias("raw_metric"))
+    names = fx.observations(spark, d).select("raw_metric").unionByName(kinds)
     return metrics.canonical(names).groupBy("raw_metric", "metric").agg(F.count("*").alias("n"))
 
 
@@ -78,9 +92,9 @@ def _(spark, d):
     return s.select("trace_id", F.col("p.value").alias("number"), "p.scaled", "p.is_percent", "p.ratio")
 
 
-@query("sf5_numbers_in_text", f"WITH {TRACES} SELECT trace_id, {NUMBERS_SQL.format('answer')} AS numbers FROM traces")
+@query("sf5_numbers_in_text", f"WITH {TRACES} SELECT trace_id, {NUMBERS_SQL.format('answer')} AS numbers, {SIGNED_SQL.format('answer')} AS signed FROM traces")
 def _(spark, d):
-    return fx.traces(spark, d).select("trace_id", text.numbers_in(F.col("answer")).alias("numbers"))
+    return fx.traces(spark, d).select("trace_id", text.numbers_in(F.col("answer")).alias("numbers"), text.signed_numbers(F.col("answer")).alias("signed"))
 
 
 YEARS_SQL = ordered_distinct(r"list_transform(regexp_extract_all({0}, '\b(19[89]\d|20[0-3]\d)\b', 1), lambda y: CAST(y AS INTEGER))")
@@ -188,13 +202,11 @@ def _(spark, d):
 
 @query(
     "sf13_metric_match",
-    f"""WITH {FACTS}, m AS (SELECT DISTINCT metric FROM facts), w AS (SELECT metric, list_distinct(list_filter(string_split(metric, '_'), lambda x: length(x) >= 4)) AS l FROM m)
-    SELECT a.metric AS a, b.metric AS b, contains(a.metric, b.metric) OR contains(b.metric, a.metric) OR (len(list_intersect(a.l, b.l)) > 0 AND len(list_intersect(a.l, b.l)) >= least(2, len(a.l), len(b.l))) AS matches
-    FROM w a JOIN w b ON a.metric < b.metric""",
+    f"WITH {OBSERVATIONS}, m AS (SELECT metric AS name FROM facts UNION SELECT raw_metric FROM observations) SELECT a.name AS a, b.name AS b, {match_sql('a.name', 'b.name')} AS matches FROM m a JOIN m b ON a.name <> b.name",
 )
 def _(spark, d):
-    m = fx.facts(spark, d).select("metric").distinct()
-    pairs = m.select(F.col("metric").alias("a")).join(m.select(F.col("metric").alias("b")), F.col("a") < F.col("b"))  # seven names
+    m = fx.facts(spark, d).select(F.col("metric").alias("name")).union(fx.observations(spark, d).select("raw_metric")).distinct()
+    pairs = m.select(F.col("name").alias("a")).join(m.select(F.col("name").alias("b")), F.col("a") != F.col("b"))  # a handful of names
     return pairs.withColumn("matches", text.metric_matches(F.col("a"), F.col("b")))
 
 
@@ -214,17 +226,17 @@ def _(spark, d):
 @query(
     "sf15_number_overlap",
     f"""WITH {TRACES}, s AS (SELECT case_id, any_value(expected) FILTER (trace_id % 5 = 0) AS e0, list(expected ORDER BY trace_id) AS gold, string_agg(answer, ' ; ' ORDER BY trace_id) AS t FROM traces GROUP BY case_id),
-    n AS (SELECT case_id, gold, {NUMBERS_SQL.format('t')} AS v FROM s)
+    n AS (SELECT case_id, gold, {SIGNED_SQL.format('t')} AS v FROM s)
     SELECT case_id, CAST(round(len(list_filter(gold, lambda g: len(list_filter(v, lambda x: abs(x - g) <= greatest(0.5, 0.02 * abs(g)))) > 0)) / len(gold), 4) AS DOUBLE) AS overlap FROM n""",
 )
 def _(spark, d):
     s = fx.traces(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("trace_id", "expected", "answer"))).alias("t"))
-    return s.select("case_id", text.number_overlap(text.numbers_in(F.array_join("t.answer", " ; ")), F.col("t.expected")).alias("overlap"))
+    return s.select("case_id", text.number_overlap(text.signed_numbers(F.array_join("t.answer", " ; ")), F.col("t.expected")).alias("overlap"))
 
 
 QUALITY_SQL = rf"""round(CASE reasoning WHEN 'Calculation' THEN 3.0 WHEN 'Compositional' THEN 2.8 WHEN 'Subtraction' THEN 2.4 ELSE 1.0 END::DOUBLE
   + least(4.0::DOUBLE, len(regexp_extract_all(t, '\d[\d,]*(?:\.\d+)?')) / 8.0::DOUBLE) + least(3.0::DOUBLE, 0.8::DOUBLE * len({YEARS_SQL.format("(t || ' ' || q)")})) + least(2.0::DOUBLE, length(t) / 1200.0::DOUBLE)
-  + CASE WHEN contains(lower(q || ' ' || a), 'ratio') OR contains(lower(q || ' ' || a), 'growth') OR contains(lower(q || ' ' || a), 'margin') THEN 2.0 ELSE 0.0 END::DOUBLE + CASE WHEN {PARSE.format('a')} IS NOT NULL THEN 2.0 ELSE 0.0 END::DOUBLE, 4)"""
+  + CASE WHEN regexp_matches(lower(q || ' ' || a), '\b(margin|ratio|percent|percentage|growth|change|increase|decrease|divided|per share)\b') THEN 2.0 ELSE 0.0 END::DOUBLE + CASE WHEN {PARSE.format('a')} IS NOT NULL THEN 2.0 ELSE 0.0 END::DOUBLE, 4)"""
 CASES_SQL = f"""{EVIDENCE_SQL}, cases AS (
   SELECT c_custkey AS case_id, 'S' || (c_custkey % 100 + 1) AS ticker, c_mktsegment AS slice, {QUESTION_SQL} AS q, CASE c_custkey % 3 WHEN 0 THEN 'Calculation' WHEN 1 THEN 'Compositional' ELSE 'Other' END AS reasoning,
     CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE '$' || CAST(floor(abs(c_acctbal)) AS BIGINT) END AS a FROM customer
@@ -271,16 +283,24 @@ def _(spark, d):
     return validate.fact_context(fx.facts(spark, d))
 
 
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{BLANK}|{BLANK}$', '', 'g')"
+
+
 @query(
     "sf19_chunks",
-    """WITH n AS (SELECT doc_id, trim(text) AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1200 THEN 1 ELSE CAST(ceil((length(t) - 1200) / 1050.0) AS INTEGER) + 1 END)) AS i FROM n)
-    SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 1050 AS INTEGER) AS char_start, substr(sha256(doc_id || ':' || i || ':' || substr(t, i * 1050 + 1, 1200)), 1, 20) AS chunk_id, CAST(length(substr(t, i * 1050 + 1, 1200)) AS INTEGER) AS n FROM c WHERE trim(substr(t, i * 1050 + 1, 1200)) <> ''""",
+    f"""WITH n AS (SELECT doc_id, {strip_sql('text')} AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1200 THEN 1 ELSE CAST(ceil((length(t) - 1200) / 1050.0) AS INTEGER) + 1 END)) AS i FROM n),
+    x AS (SELECT doc_id, i, length(t) AS n, {strip_sql('substr(t, i * 1050 + 1, 1200)')} AS x FROM c)
+    SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 1050 AS INTEGER) AS char_start, CAST(least(n, i * 1050 + 1200) AS INTEGER) AS char_end, substr(sha256(doc_id || ':' || i || ':' || x), 1, 20) AS chunk_id, CAST(length(x) AS INTEGER) AS n FROM x WHERE x <> ''""",
 )
 def _(spark, d):
-    c = fx.read(spark, d, "documents").select("doc_id", F.explode(text.chunks(F.trim("text"))).alias("c"))
-    c = c.select("doc_id", F.col("c.i").alias("chunk_index"), F.col("c.start").alias("char_start"), F.col("c.chunk").alias("chunk"))
+    c = fx.read(spark, d, "documents").select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c"))
+    c = c.select("doc_id", F.col("c.i").alias("chunk_index"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), F.col("c.chunk").alias("chunk"))
     id_ = F.substring(F.sha2(F.concat_ws(":", "doc_id", "chunk_index", "chunk").cast("binary"), 256), 1, 20)
-    return c.select("doc_id", "chunk_index", "char_start", id_.alias("chunk_id"), F.length("chunk").alias("n"))
+    return c.select("doc_id", "chunk_index", "char_start", "char_end", id_.alias("chunk_id"), F.length("chunk").alias("n"))
 
 
 @query(
@@ -363,11 +383,12 @@ def _(spark, d):
 
 @query(
     "fp7_issue_flags",
-    f"""WITH {OBSERVATIONS}, i AS (SELECT case_id, raw_metric, year, ordinal, list_filter([CASE WHEN year < 2000 THEN 'year' END, CASE WHEN unit = '' THEN 'unit' END, CASE WHEN quote = '' THEN 'quote' END, CASE WHEN value = floor(value) AND value BETWEEN 2015 AND 2030 THEN 'value_is_year' END], lambda x: x IS NOT NULL) AS issues FROM observations)
+    f"""WITH {OBSERVATIONS}, i AS (SELECT case_id, raw_metric, year, ordinal, list_filter([CASE WHEN year IS NULL OR year < 2000 THEN 'year' END, CASE WHEN coalesce(unit, '') = '' THEN 'unit' END, CASE WHEN trim(coalesce(quote, '')) = '' THEN 'quote' END, CASE WHEN value = floor(value) AND value BETWEEN 2015 AND 2030 THEN 'value_is_year' END], lambda x: x IS NOT NULL) AS issues FROM observations)
     SELECT * FROM i WHERE len(issues) > 0""",
 )
 def _(spark, d):
-    rules = {"year": F.col("year") < 2000, "unit": F.col("unit") == "", "quote": F.col("quote") == "", "value_is_year": text.value_is_year(F.col("value"))}
+    none = lambda c: text.strip(F.coalesce(c, F.lit(""))) == ""
+    rules = {"year": F.col("year").isNull() | (F.col("year") < 2000), "unit": none("unit"), "quote": none("quote"), "value_is_year": text.value_is_year(F.col("value"))}
     return validate.issues(fx.observations(spark, d), rules).select("case_id", "raw_metric", "year", "ordinal", "issues")
 
 

@@ -22,11 +22,16 @@ def stream(spark: SparkSession, path: str, watermark: str | None = None) -> Data
 
 
 def run_once(spark: SparkSession, path: str, checkpoint: str, table: str, prices: dict[str, float], limit: float) -> DataFrame:
-    """Take what is new, write the running totals after each batch, and return them."""
+    """Take what is new, write the running totals of each batch beside the earlier ones, and return the newest.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    No batch touches another's files, so readers never meet half a table, and one that is run again replaces its own.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={n}")
 
     q = totals(stream(spark, path), prices, limit).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     q.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(table)
+    kept = spark.read.parquet(table)
+    newest = kept.agg(F.max("batch").alias("newest"))
+    return kept.join(F.broadcast(newest), F.col("batch") == F.col("newest")).drop("batch", "newest")  # one row

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import metrics, text
-from factloom.operators import pairs, report, score, validate, vectors
+from factloom.operators import coverage, pairs, report, score, select, validate, vectors
+from factloom.streaming import ingest
 
 
 def test_observations_with_nulls(spark):
@@ -54,3 +55,63 @@ def test_retrieval_of_odd_vectors(spark):
 def test_calculation_in_any_case(spark, calculation, ok):
     t = spark.createDataFrame([(1, 0, 5.0, "5.0", calculation)], "trace_id int, level int, expected double, answer string, calculation string")
     assert score.score(t).first()["calculation_ok"] is ok
+
+
+@pytest.mark.parametrize(
+    ("raw", "metric"),
+    [("SG&A", "selling_general_admin_expense"), ("EBT", "income_before_taxes"), ("sales and marketing", "selling_general_admin_expense"), ("source_value revenue", None), ("Amount", None), ("", None), (None, None)],
+)
+def test_canonical_names(spark, raw, metric):
+    assert metrics.canonical(spark.createDataFrame([(raw,)], "raw_metric string")).first()["metric"] == metric
+
+
+def test_numbers_with_years_and_signs(spark):
+    df = spark.createDataFrame([("In 2020 (1,234) fell to -5 and $ 7.5%, 2020 again",), (None,), ("none",)], "t string")
+    assert [r[0] for r in df.select(text.signed_numbers(F.col("t"))).collect()] == [[2020.0, -1234.0, -5.0, 7.5, 0.075], [], []]
+
+
+def test_a_metric_must_have_what_is_required(spark):
+    rows = [("Net Sales", "net_sales_total"), ("operating_income", "operating_expense"), ("research costs development", "research_and_development"), ("research_and_development", "research"), ("income", "tax"), ("", "x"), (None, "x"), ("long_term_debt", "term_long"), ("debt", "total_debts_due")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] for r in df.select(text.metric_matches(F.col("a"), F.col("b"))).collect()]
+    assert got == [True, False, True, True, False, False, False, True, True]
+
+
+def test_chunks_lose_their_margins(spark):
+    df = spark.createDataFrame([(" \n" + "a" * 9 + "\t\u00a0b" + "c" * 8 + "\r\n",), ("\n \t",), ("",), (None,), ("xy",)], "t string")
+    got = [[tuple(c) for c in r[0] or []] for r in df.select(text.chunks(F.col("t"), 11, 2)).collect()]
+    assert got == [[(0, 0, 11, "a" * 9), (1, 9, 20, "b" + "c" * 8)], [], [], [], [(0, 0, 2, "xy")]]
+
+
+def test_quality_counts_whole_words(spark):
+    df = spark.createDataFrame([("Subtract", "x", "Percentage rise", "n/a"), ("Other", "x", "growths", "n/a"), (None, "", "earnings PER SHARE", "5")], "r string, t string, q string, a string")
+    got = [r[0] for r in df.select(text.quality(F.col("r"), F.col("t"), F.col("q"), F.col("a"))).collect()]
+    assert got == [4.4008, 1.0008, 5.0]
+
+
+def test_recall_by_fuzzy_metric(spark):
+    need = spark.createDataFrame([("A", "net_sales", 2020, 100.0), ("A", "net_income", 2020, 5.0), ("A", "net_income", 2021, 5.0), ("B", "debt", 2020, 0.0)], "ticker string, metric string, year int, expected double")
+    have = spark.createDataFrame([("A", "Net Sales (total)", 2020, 100.9), ("A", "net_income", 2020, 6.0), ("B", "total_debt", 2020, 0.01)], "ticker string, metric string, year int, value double")
+    assert {r.ticker: r.recall for r in coverage.recall(need, have, ["ticker"]).collect()} == {"A": 0.3333, "B": 1.0}
+
+
+def test_each_bucket_has_its_quota(spark):
+    df = spark.range(20)
+    got = select.first_per_bucket(df, [("even", F.col("id") % 2 == 0, 3), ("third", F.col("id") % 3 == 0, 1)], "id").collect()
+    assert sorted((r.bucket, r.place, r.id) for r in got) == [("even", 1, 0), ("even", 2, 2), ("even", 3, 4), ("third", 1, 3)]
+
+
+def test_totals_of_later_batches_replace_earlier_ones(spark, tmp_path):
+    line = '{{"trace_id": {}, "model": "m", "tokens": 10, "ts": "2024-01-01 00:00:00"}}\n'
+    run = lambda: ingest.run_once(spark, f"{tmp_path}/logs", f"{tmp_path}/state", f"{tmp_path}/totals", {"m": 1.0}, 0.5).collect()
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.json").write_text(line.format(1) * 2)
+    assert [(r.calls, r.tokens) for r in run()] == [(1, 10)]
+    (tmp_path / "logs/b.json").write_text(line.format(1) + line.format(2))
+    assert [(r.calls, r.tokens) for r in run()] == [(2, 20)]
+    assert [(r.calls, r.tokens) for r in run()] == [(2, 20)]
+
+
+def test_cells_with_totals(spark):
+    f = spark.createDataFrame([("A", "x", 2020), ("B", "x", 2020), ("A", "y", 2020), ("A", "x", 2021), ("C", "x", 2021)], "ticker string, metric string, year int")
+    assert [tuple(r) for r in report.coverage_cells(f, 1).collect()] == [("x", 2020, 2, 2, 3, 2, 5, 2)]
