@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def to_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, label) and edges (src, dst, type) of facts; an observation is its cell."""
@@ -84,10 +86,14 @@ def route(required: DataFrame, verified: DataFrame, anchors: DataFrame, texts: D
 
 
 def fallback_lookup(cases: DataFrame, facts: DataFrame, most: int = 8) -> DataFrame:
-    """Facts of each case's ticker and year: those of its own source if there are any, else all; at most ``most`` by value."""
-    j = cases.join(facts, ["ticker", "year"])
+    """Facts of each case's ticker and year: those of its own source if there are any, else all; at most ``most``.
+
+    The most similar come first, by the cosine of the case's embedding and the fact's.
+    """
+    j = cases.withColumnRenamed("embedding", "question").join(facts, ["ticker", "year"])
+    j = j.withColumn("similarity", text.cosine(F.col("question"), F.col("embedding"))).drop("question", "embedding")
     own = F.col("source") == F.col("case_source")
     by = Window.partitionBy("case_id")
     j = j.withColumn("own", own).withColumn("n_own", F.count_if("own").over(by)).where("own or n_own = 0")
-    rank = F.row_number().over(by.orderBy(F.desc(F.abs("value")), "metric", "source"))
+    rank = F.row_number().over(by.orderBy(F.desc("similarity"), "metric", "source"))
     return j.withColumn("rank", rank).where(F.col("rank") <= most)

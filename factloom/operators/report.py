@@ -90,3 +90,12 @@ def coverage_cells(facts: DataFrame, most: int) -> DataFrame:
     shared = cells.where("companies >= 2")
     total = total.crossJoin(F.broadcast(shared.agg(F.count("*").alias("comparable_cells"))))  # one row each
     return shared.orderBy(F.desc("companies"), F.desc("observations"), "metric", "year").limit(most).crossJoin(F.broadcast(total))
+
+
+def pivot_means(df: DataFrame, row: str, column: str, names: tuple[str, ...], value: str) -> DataFrame:
+    """Mean and number of ``value`` for each row under each of the names, and overall, in one pass; no mean where there is none."""
+    out = []
+    for n in names:
+        v = F.when(F.col(column) == n, F.col(value))
+        out += [F.when(F.count(v) > 0, mean(v)).alias(f"{n}_mean"), F.count(v).alias(f"{n}_n")]
+    return df.groupBy(row).agg(*out, mean(value).alias("overall_mean"), F.count(value).alias("overall_n"))

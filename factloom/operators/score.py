@@ -85,3 +85,47 @@ def token_f1(texts: DataFrame, gold: DataFrame, row: str, key: str) -> DataFrame
     common = have.join(want, [key, "w"]).groupBy(row).agg(F.sum(F.least("x", "y")).alias("c"))
     f1 = F.round(F.try_divide(2.0 * F.coalesce("c", F.lit(0)), F.col("n") + F.col("m")), 4)
     return total.join(common, row, "left").select(row, F.coalesce(f1, F.lit(0.0)).alias("f1"))
+
+
+def context_checks(context: Column, numbers: Column, metric: Column, companies: Column) -> Column:
+    """struct of whether a context holds any expected number, the metric, any company, a number with one of both, and the share of all that it holds.
+
+    Numbers are texts that lose their last zeros and then a point; case and underscores of names don't count; empty names aren't found.
+    """
+    low = F.lower(F.coalesce(context, F.lit("")))
+    name = F.lower(F.coalesce(metric, F.lit("")))
+    n = F.size(F.filter(F.transform(numbers, lambda x: F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))), lambda x: (x != "") & F.contains(low, x)))
+    c = F.size(F.filter(companies, lambda x: (x != "") & F.contains(low, F.lower(x))))
+    m = F.contains(low, F.replace(name, F.lit("_"), F.lit(" "))) | F.contains(low, name)
+    share = F.round((n + m.cast("int") + c) / (F.size(numbers) + 1 + F.size(companies)), 4)
+    return F.struct((n > 0).alias("expected_number"), m.alias("expected_metric"), (c > 0).alias("expected_company"), ((n > 0) & (m | (c > 0))).alias("matches"), share.alias("overlap"))
+
+
+def consistency_warnings(answer: Column, calculation: Column, question: Column, years: Column) -> Column:
+    """Codes in order: percentages near a year that differ by over 0.35 from all the calculation has there; inventory turnover, and that without a prior year.
+
+    years are those of the facts; what comes before the first of them is never among them.
+    """
+
+    def percents(words: Column, year: Column) -> Column:
+        at = F.position(year, words)
+        start = F.greatest(F.lit(1), at - 90)
+        found = F.regexp_extract_all(F.substring(words, start, at + 180 - start), F.lit(r"(-?\d[\d,]*(?:\.\d+)?)\s*%"), F.lit(1))
+        return F.transform(found, lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double"))
+
+    of = lambda words: F.array_distinct(F.regexp_extract_all(words, F.lit(text.YEAR), F.lit(1)))
+
+    def differs(year: Column) -> Column:
+        there = percents(calculation, year)
+        return (F.size(there) > 0) & F.exists(percents(answer, year), lambda v: ~F.exists(there, lambda c: F.abs(v - c) <= 0.35))
+
+    low = F.lower(F.concat_ws("\n", question, answer, calculation))
+    inventory = F.contains(low, F.lit("inventory")) & F.contains(low, F.lit("turnover"))
+    mismatch = F.exists(F.array_intersect(of(answer), of(calculation)), differs)
+    return F.array_compact(
+        F.array(
+            F.when(inventory, "ambiguous_formula"),
+            F.when(mismatch, "final_answer_calculation_mismatch"),
+            F.when(inventory & (F.size(years) > 0), "missing_prior_period"),
+        )
+    )

@@ -319,15 +319,19 @@ def _(spark, d):
 
 @query(
     "j15_filtered_retrieval",
-    f"""WITH {FACTS}, f AS (SELECT ticker, year, metric, ordinal AS source, value FROM facts_raw), k AS (SELECT DISTINCT c_custkey AS case_id, 'S' || (c_custkey % 100 + 1) AS ticker, CAST(2015 + c_custkey % 7 AS INTEGER) AS year, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' END AS case_source FROM customer),
-    j AS (SELECT k.*, f.metric, f.source, f.value, f.source = k.case_source AS own FROM k JOIN f USING (ticker, year)), n AS (SELECT *, count(*) FILTER (own) OVER (PARTITION BY case_id) AS n_own FROM j)
-    SELECT case_id, metric, source, CAST(row_number() OVER (PARTITION BY case_id ORDER BY abs(value) DESC, metric, source) AS INTEGER) AS rank FROM n WHERE own OR n_own = 0 QUALIFY rank <= 8""",
+    f"""WITH {FACTS}, v AS (SELECT max(vec_id) + 1 AS n FROM embeddings), f AS (SELECT ticker, year, metric, ordinal AS source, embedding FROM facts_raw, v JOIN embeddings ON vec_id = (year * 7 + length(metric) * 13 + ascii(ordinal)) % n),
+    k AS (SELECT c_custkey AS case_id, 'S' || (c_custkey % 100 + 1) AS ticker, CAST(2015 + c_custkey % 7 AS INTEGER) AS year, CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' END AS case_source, embedding AS question FROM customer, v JOIN embeddings ON vec_id = c_custkey % n),
+    j AS (SELECT k.*, f.metric, f.source, list_cosine_similarity(CAST(question AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])) AS s, f.source = k.case_source AS own FROM k JOIN f USING (ticker, year)), n AS (SELECT *, count(*) FILTER (own) OVER (PARTITION BY case_id) AS n_own FROM j)
+    SELECT case_id, metric, source, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, metric, source) AS INTEGER) AS rank FROM n WHERE own OR n_own = 0 QUALIFY rank <= 8""",
 )
 def _(spark, d):
+    e = fx.read(spark, d, "embeddings").select("vec_id", "embedding")
+    n = e.agg(F.max("vec_id") + 1).first()[0] or 1
     k = F.col("c_custkey")
-    c = fx.read(spark, d, "customer").select(k.alias("case_id"), F.concat(F.lit("S"), k % 100 + 1).alias("ticker"), (2015 + k % 7).cast("int").alias("year"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "N").otherwise("X").alias("case_source"))
-    f = fx.facts_raw(spark, d).select("ticker", "year", "metric", F.col("ordinal").alias("source"), "value")
-    return graph.fallback_lookup(c, f).select("case_id", "metric", "source", "rank")
+    c = fx.read(spark, d, "customer").select(k.alias("case_id"), F.concat(F.lit("S"), k % 100 + 1).alias("ticker"), (2015 + k % 7).cast("int").alias("year"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "N").otherwise("X").alias("case_source"), (k % n).alias("vec_id"))
+    of = (F.col("year") * 7 + F.length("metric") * 13 + F.ascii("ordinal")) % n
+    f = fx.facts_raw(spark, d).select("ticker", "year", "metric", F.col("ordinal").alias("source"), of.alias("vec_id"))
+    return graph.fallback_lookup(c.join(e, "vec_id").drop("vec_id"), f.join(e, "vec_id").drop("vec_id")).select("case_id", "metric", "source", "rank")
 
 
 @query(

@@ -107,13 +107,24 @@ def _(spark, d):
 CONTAINS = f"{hits_sql(6)}, ctx AS (SELECT query_id, string_agg(lower(text), ' ' ORDER BY rank) AS t FROM hits JOIN documents ON doc_id = chunk_id GROUP BY query_id)"
 
 
-@query("sc10_context_contains", f"WITH {CONTAINS} SELECT query_id, contains(t, 'license') AS has_license, contains(t, 'the') AS has_the, round((CAST(contains(t, 'license') AS INTEGER) + CAST(contains(t, 'the') AS INTEGER)) / 2.0::DOUBLE, 4) AS overlap FROM ctx")
+SC10_CASE = """CASE query_id % 3 WHEN 0 THEN 'open_source_license' WHEN 1 THEN 'the_user' ELSE 'no_such_metric' END AS metric, [(query_id % 50) || '.0', '2020.50'] AS nums, CASE WHEN query_id % 40 = 0 THEN ['The', 'zzq'] ELSE ['', 'Data'] END AS companies"""
+
+
+@query(
+    "sc10_context_contains",
+    f"""WITH {CONTAINS}, k AS (SELECT query_id, t, {SC10_CASE} FROM ctx),
+    h AS (SELECT query_id, len(list_filter(list_transform(nums, lambda x: rtrim(rtrim(x, '0'), '.')), lambda x: x <> '' AND contains(t, x))) AS n, contains(t, replace(metric, '_', ' ')) OR contains(t, metric) AS m, len(list_filter(companies, lambda c: c <> '' AND contains(t, lower(c)))) AS c FROM k)
+    SELECT query_id, n > 0 AS expected_number, m AS expected_metric, c > 0 AS expected_company, n > 0 AND (m OR c > 0) AS matches, round((n + CAST(m AS INTEGER) + c) / 5.0::DOUBLE, 4) AS overlap FROM h""",
+)
 def _(spark, d):
-    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.lower("text").alias("t"))
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("k"), "text")
     h = hits(spark, d, 6).select("query_id", "rank", F.col("chunk_id").alias("k")).join(docs, "k")
-    c = h.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "t")))["t"], " ").alias("t"))
-    a, b = F.contains("t", F.lit("license")), F.contains("t", F.lit("the"))
-    return c.select("query_id", a.alias("has_license"), b.alias("has_the"), F.round((a.cast("int") + b.cast("int")) / 2.0, 4).alias("overlap"))
+    c = h.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], " ").alias("context"))
+    q = F.col("query_id")
+    metric = F.when(q % 3 == 0, "open_source_license").when(q % 3 == 1, "the_user").otherwise("no_such_metric")
+    numbers = F.array(F.concat((q % 50).cast("string"), F.lit(".0")), F.lit("2020.50"))
+    companies = F.when(q % 40 == 0, F.array(F.lit("The"), F.lit("zzq"))).otherwise(F.array(F.lit(""), F.lit("Data")))
+    return c.select("query_id", score.context_checks(F.col("context"), numbers, metric, companies).alias("x")).select("query_id", "x.*")
 
 
 TAXONOMY = "CASE WHEN ac = 1 THEN 'none' WHEN tokens < 20 THEN 'retrieval_miss' WHEN NOT format_ok THEN 'answer_format_error' WHEN nc >= 0.9 THEN 'scorer_uncertain' WHEN nc > 0 THEN 'retrieved_but_reasoning_error' ELSE 'possible_hallucination' END"
@@ -136,13 +147,25 @@ def _(spark, d):
     return score.score(t).select("trace_id", "case_id", "check", (F.col("ac") == 1).alias("passes"))
 
 
-@query("sc13_consistency_warnings", f"WITH {scored_sql()}, w AS (SELECT case_id, max(nc) - min(nc) > 0.35 AS spread, count_if(calculation = '') > 0 AS no_calculation, count(*) < 5 AS missing_method FROM scored GROUP BY case_id) SELECT * FROM w WHERE spread OR no_calculation OR missing_method")
-def _(spark, d):
-    w = scored(spark, d).groupBy("case_id").agg((F.max("nc") - F.min("nc") > 0.35).alias("spread"), (F.count_if(F.col("calculation") == "") > 0).alias("no_calculation"), (F.count("*") < 5).alias("missing_method"))
-    return w.where("spread or no_calculation or missing_method")
+def sc13_percents(t: str) -> str:
+    window = f"substr({t}, greatest(1, strpos({t}, y) - 90), strpos({t}, y) + 180 - greatest(1, strpos({t}, y) - 90))"
+    return rf"list_transform(regexp_extract_all({window}, '(-?\d[\d,]*(?:\.\d+)?)\s*%', 1), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE))"
+
 
+SC13_YEARS = r"list_distinct(regexp_extract_all({0}, '\b(19[89]\d|20[0-3]\d)\b', 1))"
 
-# contracts
+
+@query(
+    "sc13_consistency_warnings",
+    f"""WITH {TRACES}, x AS (SELECT trace_id, 'In 2020: ' || answer AS f, CASE WHEN calculation = '' THEN '' ELSE '2020 gave ' || printf('%.2f', expected) || ' %' END AS c, CASE WHEN trace_id % 5 = 0 THEN 'Inventory turnover?' ELSE 'Margin?' END AS q FROM traces),
+    w AS (SELECT trace_id, len(list_filter(list_intersect({SC13_YEARS.format('f')}, {SC13_YEARS.format('c')}), lambda y: len({sc13_percents('c')}) > 0 AND len(list_filter({sc13_percents('f')}, lambda v: len(list_filter({sc13_percents('c')}, lambda e: abs(v - e) <= 0.35)) = 0)) > 0)) > 0 AS mismatch, trace_id % 5 = 0 AS inventory FROM x)
+    SELECT trace_id, list_filter([CASE WHEN inventory THEN 'ambiguous_formula' END, CASE WHEN mismatch THEN 'final_answer_calculation_mismatch' END, CASE WHEN inventory THEN 'missing_prior_period' END], lambda z: z IS NOT NULL) AS warnings FROM w WHERE inventory OR mismatch""",
+)
+def _(spark, d):
+    calculation = F.when(F.col("calculation") == "", "").otherwise(F.concat(F.lit("2020 gave "), F.format_string("%.2f", "expected"), F.lit(" %")))
+    question = F.when(F.col("trace_id") % 5 == 0, "Inventory turnover?").otherwise("Margin?")
+    w = score.consistency_warnings(F.concat(F.lit("In 2020: "), "answer"), calculation, question, F.array(F.lit(2019), F.lit(2020)))
+    return fx.traces(spark, d).select("trace_id", w.alias("warnings")).where(F.size("warnings") > 0)
 
 
 @query("fc1_formula_roles", f"WITH {FACTS} SELECT ticker, CASE WHEN list_contains(m, 'gross_profit') AND list_contains(m, 'total_revenue') THEN 'gross_profit / total_revenue' END AS formula, len(list_filter(m, lambda x: contains(x, 'income'))) > 1 AS ambiguous FROM (SELECT ticker, list_distinct(list(metric)) AS m FROM facts GROUP BY ticker)")
@@ -220,12 +243,12 @@ def _(spark, d):
     return report.at_grains(scored(spark, d), [("method",), ("method", "dataset"), ("method", "level"), ()], ["method", "dataset", "level"])
 
 
-@query("ag3_mode_pivot", f"WITH {ROUTE_SQL}, {scored_sql()}, j AS (SELECT method, mode, ac FROM scored s JOIN modes m ON m.case_id = s.case_id) SELECT method, " + ", ".join(f"round(avg(ac) FILTER (mode = '{m}'), 4) AS {m}_mean, count(*) FILTER (mode = '{m}') AS {m}_n" for m in ("structural_graph", "text_only", "no_go")) + " FROM j GROUP BY method")
+MODES = ("structural_graph", "graph_guided_chunk", "vector_topic_fallback", "text_only", "no_go")
+
+
+@query("ag3_mode_pivot", f"WITH {ROUTE_SQL}, {scored_sql()}, j AS (SELECT method, mode, ac FROM scored s JOIN modes m ON m.case_id = s.case_id) SELECT method, " + ", ".join(f"CASE WHEN count(*) FILTER (mode = '{m}') > 0 THEN {MEAN.format(f"CASE WHEN mode = '{m}' THEN ac END")} END AS {m}_mean, count(*) FILTER (mode = '{m}') AS {m}_n" for m in ("structural_graph", "graph_guided_chunk", "vector_topic_fallback", "text_only", "no_go")) + f", {MEAN.format('ac')} AS overall_mean, count(*) AS overall_n FROM j GROUP BY method")
 def _(spark, d):
-    names = ["structural_graph", "text_only", "no_go"]
-    j = scored(spark, d).join(modes(spark, d), "case_id")
-    p = j.groupBy("method").pivot("mode", names).agg(F.round(F.avg("ac"), 4).alias("mean"), F.count("ac").alias("n"))
-    return p.fillna(0, [f"{m}_n" for m in names])
+    return report.pivot_means(scored(spark, d).join(modes(spark, d), "case_id"), "method", "mode", MODES, "ac")
 
 
 @query("ag4_hypothesis_rates", f"WITH {scored_sql()} SELECT round(avg(ac) FILTER (method = 'm0'), 4) > round(avg(ac) FILTER (method = 'm1'), 4) AS h1, round(avg(CASE WHEN tokens < 20 THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (ac = 0), 4) AS failed_short FROM scored")

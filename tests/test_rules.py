@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import metrics, text
-from factloom.operators import coverage, pairs, report, score, select, validate, vectors
+from factloom.operators import coverage, graph, pairs, report, score, select, validate, vectors
 from factloom.streaming import ingest
 
 
@@ -115,3 +115,38 @@ def test_totals_of_later_batches_replace_earlier_ones(spark, tmp_path):
 def test_cells_with_totals(spark):
     f = spark.createDataFrame([("A", "x", 2020), ("B", "x", 2020), ("A", "y", 2020), ("A", "x", 2021), ("C", "x", 2021)], "ticker string, metric string, year int")
     assert [tuple(r) for r in report.coverage_cells(f, 1).collect()] == [("x", 2020, 2, 2, 3, 2, 5, 2)]
+
+
+def test_what_a_context_holds(spark):
+    df = spark.createDataFrame([("In 2020 Net Income of Acme was 12.5",), ("nothing",), (None,)], "t string")
+    x = score.context_checks(F.col("t"), F.array(F.lit("12.50"), F.lit("7.0")), F.lit("net_income"), F.array(F.lit("ACME"), F.lit("")))
+    assert [tuple(r[0]) for r in df.select(x).collect()] == [(True, True, True, True, 0.6), (False, False, False, False, 0.0), (False, False, False, False, 0.0)]
+
+
+@pytest.mark.parametrize(
+    ("answer", "calculation", "question", "years", "codes"),
+    [
+        ("2020: 5.0%", "in 2020 5.3 %", "Margin?", [2020], []),
+        ("2020: 5.0%", "in 2020 5.4 %", "Margin?", [2020], ["final_answer_calculation_mismatch"]),
+        ("2020: 5.0%", "in 2021 5.4 %", "Margin?", [2020], []),
+        ("2020: 5.0%", "in 2020 nothing", "Inventory Turnover", [2020, 2021], ["ambiguous_formula", "missing_prior_period"]),
+        ("", "", "inventory turnover", [], ["ambiguous_formula"]),
+    ],
+)
+def test_warnings(spark, answer, calculation, question, years, codes):
+    df = spark.createDataFrame([(answer, calculation, question, years)], "a string, c string, q string, y array<int>")
+    assert df.select(score.consistency_warnings(*map(F.col, "acqy"))).first()[0] == codes
+
+
+def test_similar_facts_first(spark):
+    cases = spark.createDataFrame([(1, "A", 2020, "x", [1.0, 0.0]), (2, "A", 2020, "z", [0.0, 1.0])], "case_id int, ticker string, year int, case_source string, embedding array<double>")
+    rows = [("A", 2020, "m1", "x", [0.0, 1.0]), ("A", 2020, "m2", "x", [1.0, 0.1]), ("A", 2020, "m3", "y", [1.0, 0.0]), ("A", 2021, "m4", "x", [1.0, 0.0])]
+    facts = spark.createDataFrame(rows, "ticker string, year int, metric string, source string, embedding array<double>")
+    got = sorted((r.case_id, r["rank"], r.metric) for r in graph.fallback_lookup(cases, facts, 2).collect())
+    assert got == [(1, 1, "m2"), (1, 2, "m1"), (2, 1, "m1"), (2, 2, "m2")]
+
+
+def test_means_by_mode(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "x", 0), ("a", "y", 1), ("b", "y", None)], "r string, c string, v int")
+    got = {r.r: tuple(r)[1:] for r in report.pivot_means(df, "r", "c", ("x", "y"), "v").collect()}
+    assert got == {"a": (0.5, 2, 1.0, 1, 0.6667, 3), "b": (None, 0, None, 0, 0.0, 0)}
