@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, near, packing, sharding, suffix, toxicity, vectors
+from . import bpe, chat, lm, near, packing, quality, sharding, suffix, toxicity, vectors, whitening
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_cover_tree_dedup": vectors.op8_cover_tree_dedup,
         "op9_zstd_toxicity": toxicity.op9_zstd_toxicity,
         "op10_segment_tree_bpe": bpe.op10_segment_tree_bpe,
+        "op11_qd_whitening": whitening.op11_qd_whitening,
+        "op13_zstd_quality": quality.op13_zstd_quality,
     }
 
 
