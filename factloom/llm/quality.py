@@ -128,7 +128,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     for n in each["size"]:
         kept.append(n <= room)
         room -= n if kept[-1] else 0
-    each = each[kept]
+    each = each[np.array(kept, bool)]
     each["half"] = each.groupby("quality").cumcount() % 2
     n = each["quality"].value_counts()
     if n.get(0, 0) < 2 or n.get(1, 0) < 2:

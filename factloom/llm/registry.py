@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, near, packing, quality, sharding, suffix, toxicity, vectors, whitening
+from . import bpe, chat, lm, near, packing, quality, sharding, suffix, toxicity, trie, vectors, whitening
 
 
 def queries():
@@ -18,9 +18,10 @@ def queries():
         "op9_zstd_toxicity": toxicity.op9_zstd_toxicity,
         "op10_segment_tree_bpe": bpe.op10_segment_tree_bpe,
         "op11_qd_whitening": whitening.op11_qd_whitening,
+        "op12_prefix_trie": trie.op12_prefix_trie,
         "op13_zstd_quality": quality.op13_zstd_quality,
     }
 
 
 def oracle_sql():
-    return {"op4_event_chat": chat.OP4_SQL, "op7_bit_sliced_topk": vectors.OP7_SQL}
+    return {"op4_event_chat": chat.OP4_SQL, "op7_bit_sliced_topk": vectors.OP7_SQL, "op12_prefix_trie": trie.OP12_SQL}
