@@ -184,7 +184,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     left = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id", "v", "big", F.monotonically_increasing_id()), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     right = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(qblocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = [F.col(c).cast("int").alias(c) for c in ("rb", "qb")]  # of one type on both sides, or they are dealt differently
-    left, right = left.select(*key, "vec_id", "v", "big"), right.select(*key, "vec_id", "v", "big")
+    left, right = left.select(*key, "vec_id", "v", "big"), right.select(*key, "vec_id", "v", "big", F.xxhash64("v", "big").alias("variant"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         names, out = ["query_id", "variant", "vec_id", "score"], []
@@ -193,8 +193,7 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             return g["v"].where(g["v"].notna(), g["big"]).map(len)
 
         def add(q: pd.DataFrame, at, vec_ids, scores) -> None:
-            own = [hash(tuple(v if v is not None else big)) for v, big in zip(q["v"], q["big"])]
-            out.append(pd.DataFrame({"query_id": q["vec_id"].to_numpy()[at], "variant": np.array(own, np.int64)[at], "vec_id": vec_ids, "score": pd.Series(scores, dtype=object if wide else "int64")}))
+            out.append(pd.DataFrame({"query_id": q["vec_id"].to_numpy()[at], "variant": q["variant"].to_numpy()[at], "vec_id": vec_ids, "score": pd.Series(scores, dtype=object if wide else "int64")}))
 
         def parts(g: pd.DataFrame) -> list[tuple[pd.DataFrame, list]]:
             near, far = g[g["v"].notna()], g[g["v"].isna()]
@@ -230,8 +229,11 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
 
 def op7_bit_sliced_topk(spark, sf_dir: str) -> DataFrame:
-    """The ten best rows for every hundredth vector, by integer inner products; odd rows as in top_k()."""
-    return top_k(table(spark, sf_dir, "embeddings"))
+    """The ten best rows for every hundredth vector, by integer inner products; odd rows as in top_k(), and a best score beyond a bigint is an error."""
+    found = top_k(table(spark, sf_dir, "embeddings"))
+    beyond = F.raise_error(F.lit("a score does not fit a bigint")).cast("long")
+    fits = F.col("score").cast("decimal(38,0)").between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**63 - 1)))
+    return found.withColumn("score", F.when(fits, F.col("score").cast("long")).otherwise(beyond))
 
 
 OP7_SQL = """

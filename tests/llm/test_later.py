@@ -1,6 +1,7 @@
 """Operators 11 to 13 against brute force, held-out labels, and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import quality, registry, trie, whitening
+from factloom.llm import quality, registry, trie, vectors, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,3 +227,27 @@ def test_op13_odd_rows(spark):
     ones = quality.fit_on(docs, labels.where("quality = 1"))
     assert len({r.score for r in quality.score_table(docs, ones).collect()}) == 1
     assert quality.score_table(docs.limit(0), model).collect() == []
+
+
+# mends of earlier operators
+
+
+def test_op7_tells_query_variants_apart(spark):
+    rows = [(100, [-1 / 1024, 0.0]), (100, [-2 / 1024, 0.0])] + [(i, [float(i), 1.0]) for i in range(1, 30)]
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = []
+    for v in (-1, -2):
+        hits = sorted((-v * 1024 * i, i) for i in range(1, 30))[:10]
+        want += [(100, k + 1, i, -s) for k, (s, i) in enumerate(hits)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_op7_scores_are_bigints(spark, tmp_path):
+    op7 = registry.queries()["op7_bit_sliced_topk"]
+    rows = [(100 * i, [float(i), 1.0]) for i in range(5)]
+    large = spark.createDataFrame([*rows, (7, [3e9, -1.0]), (9, [-3e9, 1.0])], "vec_id long, embedding array<double>")
+    got = op7(spark, write(spark, tmp_path / "a", embeddings=large))
+    assert got.schema["score"].dataType.simpleString() == "bigint" and got.where("query_id = 200 and rank = 1").first().score == 2048 * math.floor(3e9 * 1024) - 1024 * 1024
+    too_large = spark.createDataFrame([*rows, (700, [3e9, 3e9]), (9, [3e9, 3e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a bigint"):
+        op7(spark, write(spark, tmp_path / "b", embeddings=too_large)).collect()
