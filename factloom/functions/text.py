@@ -11,6 +11,9 @@ PLAIN_NUMBER = r"\d[\d,]*(?:\.\d+)?"
 YEAR = r"\b(19[89]\d|20[0-3]\d)\b"
 BONUS = r"(?i)\b(margin|ratio|percent|percentage|growth|change|increase|decrease|divided|per share)\b"
 WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+# Words that hold ids, and numbers with their scale word or percent sign.
+ID_WORD = r"(?i)\b(?:round3|baseline|control|dev|test|fact|trace|case|source|evidence|prompt|sha|id)[-_A-Za-z0-9]*\b"
+SCALED_NUMBER = r"-?\(?\$?\d[\d,]*(?:\.\d+)?\)?\s*(?:%|percent|percentage|million|millions|billion|billions|thousand|thousands)?"
 SCALES = (("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
 UNITS = ("currency_millions", "currency_billions", "count", "percentage", "ratio", "currency_per_share")
 ARTIFACTS = ("at_the_", "during_the_", "_of_", "march_", "june_", "december_", "generation_x", "birth_year")
@@ -83,6 +86,50 @@ def signed_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.flatten(F.transform(found, values)), lambda v: v.isNotNull()), lambda v: F.round(v, 8)))
 
 
+def scaled_numbers(text: Column) -> Column:
+    """array of (value, scaled, percent): the numbers of a text in order, in the text's own unit and times their scale word.
+
+    Words that hold ids don't count, nor do digits right after a letter or underscore, nor bare years of this century.
+    Parentheses around all of a number negate it. What is no number in spite of its looks is left out.
+    """
+
+    def read(raw: Column) -> Column:
+        t = F.lower(F.trim(raw))
+        bare = F.regexp_replace(F.btrim(t, F.lit("()")), r"[$,%]|percent|millions?|billions?|thousands?", "")
+        v = F.trim(bare).try_cast("double")
+        v = F.when(t.startswith("(") & t.endswith(")"), -v).otherwise(v)
+        factor = F.lit(1.0)
+        for word, by in reversed(SCALES):
+            factor = F.when(F.contains(t, F.lit(word)), F.lit(by)).otherwise(factor)
+        percent = F.contains(t, F.lit("%")) | F.contains(t, F.lit("percent"))
+        return F.struct(v.alias("value"), (v * factor).alias("scaled"), percent.alias("percent"))
+
+    without_ids = F.regexp_replace(F.coalesce(text, F.lit("")), ID_WORD, " ")
+    found = F.regexp_extract_all(without_ids, F.lit(r"(?i)(?<![A-Za-z_])" + SCALED_NUMBER), F.lit(0))
+    return F.filter(F.transform(F.filter(found, lambda t: ~F.trim(t).rlike(r"^20\d\d$")), read), lambda n: n["value"].isNotNull())
+
+
+def values_of(numbers: Column) -> Column:
+    """Values and scaled values of scaled_numbers(), each once, in order."""
+    return F.array_distinct(F.flatten(F.transform(numbers, lambda n: F.array(n["value"], n["scaled"]))))
+
+
+def isclose(a: Column, b: Column, rel: float, abs_: float) -> Column:
+    return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))
+
+
+def same_number(expected: Column, actual: Column, unit: Column) -> Column:
+    """Whether two of scaled_numbers() agree in a unit: percentages by 0.1 points or as ratios, small ratios and amounts by a hundredth, others by half a percent."""
+    e, a = expected, actual
+    as_unit = unit == "percentage"
+    points = lambda n, sure: F.when(sure | n["percent"] | (F.abs(n["value"]) > 1), n["value"]).otherwise(n["value"] * 100)
+    ratio = lambda n: F.when(n["percent"], n["value"] / 100).otherwise(n["value"])
+    percent = isclose(points(e, as_unit), points(a, F.lit(False)), 1e-9, 0.1) | isclose(ratio(e), ratio(a), 0.01, 0.0015)
+    small = unit.isin("ratio, amount", "ratio", "amount") & (F.abs(e["value"]) < 100) & (F.abs(a["value"]) < 100)
+    other = isclose(e["scaled"], a["scaled"], 0.005, 0.01) | isclose(e["value"], a["value"], 0.005, 0.01)
+    return F.when(as_unit | e["percent"] | a["percent"], percent).when(small, isclose(e["value"], a["value"], 0.01, 0.01)).otherwise(other)
+
+
 def years_in(text: Column) -> Column:
     """Distinct years in a text, first seen first."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")))
@@ -195,15 +242,19 @@ def chunks(text: Column, size: int = 1200, overlap: int = 150) -> Column:
 
     The text loses the white space around it first, and so does each chunk, which keeps its place; blank ones go.
     """
-    t = strip(text)
-    n, step = F.length(t), size - overlap
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
+    step = size - overlap
+
+    def of(t: Column) -> Column:
+        n = F.length(t)
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
+
+        def window(i: Column) -> Column:
+            return F.struct(i.alias("i"), (i * step).alias("start"), F.least(n, i * step + size).alias("end"), strip(F.substring(t, i * step + 1, F.lit(size))).alias("chunk"))
 
-    def window(i: Column) -> Column:
-        return F.struct(i.alias("i"), (i * step).alias("start"), F.least(n, i * step + size).alias("end"), strip(F.substring(t, i * step + 1, F.lit(size))).alias("chunk"))
+        all_ = F.transform(F.sequence(F.lit(0), count - 1), window)
+        return F.filter(F.when(n > 0, all_).otherwise(F.slice(all_, 1, 0)), lambda c: c["chunk"] != "")
 
-    all_ = F.transform(F.sequence(F.lit(0), count - 1), window)
-    return F.filter(F.when(n > 0, all_).otherwise(F.slice(all_, 1, 0)), lambda c: c["chunk"] != "")
+    return F.transform(F.array(strip(text)), of)[0]  # bound by the lambda, so that the text is stripped once
 
 
 def cosine(a: Column, b: Column) -> Column:

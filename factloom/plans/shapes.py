@@ -56,3 +56,21 @@ judgments AS (
     CASE WHEN (doc_id + j) % 97 <> 0 THEN CAST((doc_id * (2 * j + 1) + n_chars) % 3 AS INTEGER) END AS code
   FROM documents, (SELECT unnest([0, 1, 2, 3]) AS j)
 )"""
+
+SLOTTED = """
+slot_lines AS (
+  SELECT l_orderkey AS trace_id, list({'n': l_linenumber, 'said': said, 'expected': expected} ORDER BY l_linenumber, said, expected)[1:4] AS lines FROM (
+    SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN '$' || CAST(p AS VARCHAR) WHEN 1 THEN CAST(p * 0.01::DECIMAL(3,2) AS VARCHAR) || '%'
+      WHEN 2 THEN CAST(p * 1.003::DECIMAL(4,3) AS VARCHAR) WHEN 3 THEN CAST(p * 1.015::DECIMAL(4,3) AS VARCHAR) WHEN 4 THEN 'not given'
+      ELSE CAST(p * 0.001::DECIMAL(4,3) AS VARCHAR) || ' thousand' END AS said,
+      CASE WHEN l_linenumber = 4 AND l_orderkey % 5 = 0 THEN 'n/a' ELSE CAST(p AS VARCHAR) END AS expected
+    FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS p FROM lineitem WHERE l_linenumber <= 4 AND l_quantity >= 15)) GROUP BY l_orderkey
+), slotted AS (
+  SELECT o_orderkey AS trace_id, o_orderstatus AS dataset, ['graph_neo4j_v8', 'graph_neo4j_v9', 'vector_only', 'hybrid'][o_orderkey % 4 + 1] AS method,
+    ['finqa_program', 'revenue_growth', 'tatqa_arithmetic'][o_orderkey % 3 + 1] AS formula_type,
+    CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'case_' || o_orderkey || ' in 2020: ' || coalesce(array_to_string(list_transform(list_filter(lines, lambda x: x.n % 2 = 1), lambda x: x.said), '; '), '') END AS final_answer,
+    CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'ratio: ' END || coalesce(array_to_string(list_transform(list_filter(lines, lambda x: x.n % 2 = 0), lambda x: x.said), '; '), '') END AS calculation,
+    coalesce(lines, []) AS lines, CASE WHEN o_orderkey % 2 = 0 THEN 'amount' ELSE 'percentage' END AS unit, o_orderkey % 19 = 0 AS failed,
+    CASE WHEN o_orderkey % 17 = 0 THEN 1.0::DOUBLE END AS earlier_ac, CASE WHEN o_orderkey % 34 = 0 THEN 0.875::DOUBLE END AS earlier_nc
+  FROM orders LEFT JOIN slot_lines ON trace_id = o_orderkey
+)"""

@@ -101,3 +101,33 @@ def observations(spark, sf_dir: str) -> DataFrame:
         F.when((F.col("s") % 7 == 0) & (F.col("ordinal") == "N"), "").otherwise(F.concat("metric", F.lit(" was reported"))).alias("quote"),
         "ordinal",
     )
+
+
+def slotted_traces(spark, sf_dir: str) -> DataFrame:
+    """A trace for each order, with up to four slots from its lines and an answer that has them right, in another unit, a little off, or not at all."""
+    p = F.col("l_extendedprice").cast("decimal(12,2)")
+    times = lambda v, kind: (p * F.lit(v).cast(kind)).cast("string")
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    said = (
+        F.when(k == 0, F.concat(F.lit("$"), p.cast("string"))).when(k == 1, F.concat(times("0.01", "decimal(3,2)"), F.lit("%"))).when(k == 2, times("1.003", "decimal(4,3)"))
+        .when(k == 3, times("1.015", "decimal(4,3)")).when(k == 4, "not given").otherwise(F.concat(times("0.001", "decimal(4,3)"), F.lit(" thousand")))
+    )
+    expected = F.when((F.col("l_linenumber") == 4) & (F.col("l_orderkey") % 5 == 0), "n/a").otherwise(p.cast("string"))
+    line = F.struct(F.col("l_linenumber").alias("n"), said.alias("said"), expected.alias("expected"))
+    lines = read(spark, sf_dir, "lineitem").where("l_linenumber <= 4 and l_quantity >= 15").groupBy(F.col("l_orderkey").alias("trace_id")).agg(F.slice(F.array_sort(F.collect_list(line)), 1, 4).alias("lines"))
+    o = F.col("o_orderkey")
+    t = read(spark, sf_dir, "orders").select(o.alias("trace_id"), "o_orderstatus").join(lines, "trace_id", "left")
+    t = t.withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+    i = F.col("trace_id")
+    part = lambda odd: F.array_join(F.transform(F.filter("lines", lambda x: x["n"] % 2 == odd), lambda x: x["said"]), "; ")
+    kind = F.when(i % 3 == 0, "finqa_program").when(i % 3 == 1, "revenue_growth").otherwise("tatqa_arithmetic")
+    method = F.when(i % 4 == 0, "graph_neo4j_v8").when(i % 4 == 1, "graph_neo4j_v9").when(i % 4 == 2, "vector_only").otherwise("hybrid")
+    unit = F.when(i % 2 == 0, "amount").otherwise("percentage")
+    return t.select(
+        "trace_id", F.col("o_orderstatus").alias("dataset"), method.alias("method"), kind.alias("formula_type"),
+        F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("case_"), i.cast("string"), F.lit(" in 2020: "), part(1))).alias("final_answer"),
+        F.when(i % 13 == 0, "").otherwise(F.concat(F.when(i % 7 == 0, "").otherwise("ratio: "), part(0))).alias("calculation"),
+        F.transform("lines", lambda x: F.struct(F.concat(F.lit("slot_"), x["n"].cast("string")).alias("name"), x["expected"].alias("expected"), unit.alias("unit"))).alias("slots"),
+        F.transform("lines", lambda x: F.struct(x["expected"].alias("expected"), F.lit("amount").alias("unit"), F.when(i % 5 > 0, 2020).alias("year"))).alias("facts"),
+        (i % 19 == 0).alias("failed"), F.when(i % 17 == 0, 1.0).alias("earlier_ac"), F.when(i % 34 == 0, 0.875).alias("earlier_nc"),
+    )
