@@ -74,3 +74,21 @@ slot_lines AS (
     CASE WHEN o_orderkey % 17 = 0 THEN 1.0::DOUBLE END AS earlier_ac, CASE WHEN o_orderkey % 34 = 0 THEN 0.875::DOUBLE END AS earlier_nc
   FROM orders LEFT JOIN slot_lines ON trace_id = o_orderkey
 )"""
+
+FORMULA_CASES = """
+formula_cases AS (
+  SELECT c_custkey AS case_id, c_custkey % 13 AS kind, 'S' || (c_custkey % 10 + 1) AS ticker,
+    ['what was the effective tax rate?', 'how did inventory turnover develop?', 'assess liquidity over the years.', 'compare gross margin.', 'is the margin improving?',
+     'how does the cost/sg&a ratio move?', 'what drove growth?', 'reconcile eps.', 'who audits the company?', 'explain the effective tax charge.', 'net inc growth and eps impact?',
+     'what is the noninterest exp ratio?', 'operating profit margin of the bank?'][c_custkey % 13 + 1] AS q, CASE WHEN c_custkey % 26 = 8 THEN 'the current ratio fell.' ELSE '' END AS a
+  FROM customer
+), formula_facts AS (
+  SELECT case_id, kind, CASE
+      WHEN kind = 0 AND metric = 'income_tax_expense' THEN 'provision_for_income_taxes' WHEN kind = 0 AND metric = 'operating_income' THEN 'income_before_income_taxes'
+      WHEN kind = 1 AND metric = 'operating_expense' THEN 'inventories' WHEN kind = 2 AND metric = 'total_revenue' THEN 'current_assets' WHEN kind = 2 AND metric = 'cost_of_sales' THEN 'current_liabilities'
+      WHEN kind = 5 AND metric = 'operating_expense' THEN 'selling_general_and_administrative' WHEN kind = 7 AND metric = 'cost_of_sales' THEN 'weighted_average_shares'
+      WHEN kind = 9 AND metric = 'income_tax_expense' THEN 'levies' WHEN kind = 10 AND metric = 'cost_of_sales' THEN 'diluted_earnings_per_common_share'
+      WHEN kind = 11 AND metric = 'operating_expense' THEN 'total_noninterest_expense' WHEN kind IN (11, 12) AND metric = 'total_revenue' THEN 'net_interest_income'
+      WHEN kind = 12 AND metric = 'operating_income' THEN 'income_before_taxes' WHEN kind = 12 AND metric = 'gross_profit' THEN 'total_other_income' ELSE metric END AS metric, year, value, place
+  FROM formula_cases JOIN (SELECT ticker, metric, year, value, ascii(ordinal) AS place FROM facts_raw UNION ALL SELECT ticker, metric, year, value, 1000 FROM facts) USING (ticker)
+)"""

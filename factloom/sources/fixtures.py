@@ -131,3 +131,47 @@ def slotted_traces(spark, sf_dir: str) -> DataFrame:
         F.transform("lines", lambda x: F.struct(x["expected"].alias("expected"), F.lit("amount").alias("unit"), F.when(i % 5 > 0, 2020).alias("year"))).alias("facts"),
         (i % 19 == 0).alias("failed"), F.when(i % 17 == 0, 1.0).alias("earlier_ac"), F.when(i % 34 == 0, 0.875).alias("earlier_nc"),
     )
+
+
+#: What a case of each kind asks, and how it calls some of its metrics.
+FORMULA_QUESTIONS = (
+    "What was the effective tax rate?", "How did Inventory Turnover develop?", "Assess liquidity over the years.", "Compare gross margin.", "Is the margin improving?",
+    "How does the cost/SG&A ratio move?", "What drove growth?", "Reconcile EPS.", "Who audits the company?", "Explain the effective tax charge.",
+    "Net Inc growth and EPS impact?", "What is the Noninterest Exp ratio?", "Operating profit margin of the bank?",
+)
+FORMULA_NAMES = {
+    (0, "income_tax_expense"): "Provision for Income Taxes", (0, "operating_income"): "Income before income taxes", (1, "operating_expense"): "Inventories", (2, "total_revenue"): "Current Assets",
+    (2, "cost_of_sales"): "current_liabilities", (5, "operating_expense"): "Selling, General and Administrative", (7, "cost_of_sales"): "weighted_average_shares", (9, "income_tax_expense"): "levies",
+    (10, "cost_of_sales"): "diluted_earnings_per_common_share", (11, "operating_expense"): "total_noninterest_expense", (11, "total_revenue"): "net_interest_income",
+    (12, "operating_income"): "income_before_taxes", (12, "total_revenue"): "net_interest_income", (12, "gross_profit"): "total_other_income",
+}
+
+
+def formula_cases(spark, sf_dir: str) -> DataFrame:
+    """A case for each customer, of thirteen kinds: (case_id, kind, ticker, question, expected_answer)."""
+    k = F.col("c_custkey")
+    kind = (k % len(FORMULA_QUESTIONS)).cast("int")
+    question = F.get(F.array(*map(F.lit, FORMULA_QUESTIONS)), kind)
+    return read(spark, sf_dir, "customer").select(k.alias("case_id"), kind.alias("kind"), F.concat(F.lit("S"), k % 10 + 1).alias("ticker"), question.alias("question"), F.when(k % 26 == 8, "The Current Ratio fell.").alias("expected_answer"))
+
+
+def formula_facts(spark, sf_dir: str) -> DataFrame:
+    """The facts of each case: its ticker's values by ordinal and in total, the total last, under the case's names."""
+    f = facts_raw(spark, sf_dir).select("ticker", "metric", "year", "value", F.ascii("ordinal").alias("place")).unionByName(facts(spark, sf_dir).withColumn("place", F.lit(1000)))
+    j = formula_cases(spark, sf_dir).select("case_id", "kind", "ticker").join(f, "ticker")
+    name = F.col("metric")
+    for (kind, metric), other in FORMULA_NAMES.items():
+        name = F.when((F.col("kind") == kind) & (F.col("metric") == metric), other).otherwise(name)
+    return j.select("case_id", name.alias("metric"), "year", "value", "place")
+
+
+def derivation_cases(spark, sf_dir: str) -> DataFrame:
+    """A case for each order: a program of three steps or a derivation, some with too few numbers or an answer that is none."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    program = F.concat(F.lit("subtract("), price, F.lit(", const_100), divide(#0, "), price, F.lit("), multiply(#1, const_m2)"))
+    derivation = F.concat(F.lit("("), F.regexp_replace(price, r"(\d)(\d{3})\.", "$1,$2."), F.lit(" - 1,250) / "), k.cast("string"), F.lit(" - 7.5"))
+    return read(spark, sf_dir, "orders").select(
+        k.alias("case_id"), F.when(k % 3 == 0, F.when(k % 9 == 0, "add(5)").otherwise(program)).alias("program"), F.when(k % 3 == 1, derivation).when(k % 3 == 2, "12 only").alias("derivation"),
+        F.when(k % 5 == 0, "million").when(k % 5 == 1, "percent").when(k % 5 == 2, "").when(k % 5 == 3, "dozen").alias("scale"),
+        F.when(k % 7 == 0, "yes").when(k % 7 == 1, F.concat((k % 100).cast("string"), F.lit("%"))).otherwise(price).alias("answer"),
+    )
