@@ -108,8 +108,8 @@ def fold(doc_id: Column) -> Column:
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows that aren't held out, within the bounds above.
 
-    Ids with contradicting labels teach nothing; several texts of one id count each. The driver gets id, hashes and size
-    of at most FIT_ROWS texts, the texts of the dictionaries' half (FIT_BYTES at most), and the features of the other
+    Ids with contradicting labels teach nothing; of several texts of one id the one with the smallest hash counts. The
+    driver gets id, hashes and size of at most FIT_ROWS texts, the texts of the dictionaries' half (FIT_BYTES at most), and the features of the other
     half. Where a class is missing, every score is the share of good rows, or a half without any labels.
     """
     spark = docs.sparkSession
@@ -118,6 +118,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     of_id = of_id.where((F.col("quality") == F.col("other")) & (fold(F.col("doc_id")) != 2)).drop("other")
     chosen = F.broadcast(of_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))  # bounded by FIT_ROWS
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one for each id
     texts = texts.groupBy(F.xxhash64("text").alias("hash"), "text").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"), F.min("doc_id").cast("long").alias("doc_id"))
     texts = texts.where("quality = other").select("hash", "doc_id", "quality", "text")
     rows = stash(texts.mapInArrow(_families, "hash long, doc_id long, quality int, text string, family long"))

@@ -251,3 +251,22 @@ def test_op7_scores_are_bigints(spark, tmp_path):
     too_large = spark.createDataFrame([*rows, (700, [3e9, 3e9]), (9, [3e9, 3e9])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="does not fit a bigint"):
         op7(spark, write(spark, tmp_path / "b", embeddings=too_large)).collect()
+
+
+@pytest.mark.parametrize("module", ["toxicity", "quality"])
+def test_labelled_ids_bring_one_row_each_to_the_driver(spark, monkeypatch, module):
+    from factloom.llm import toxicity
+
+    rows = [(i % 40, f"text {i} of " + ("scum " if i % 40 < 8 else "plain words ") * (i % 9 + 3)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 8), int(i < 8)) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen, plain = [], type(docs).toPandas
+
+    def spy(self):
+        out = plain(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(docs), "toPandas", spy)
+    {"toxicity": toxicity, "quality": quality}[module].fit_on(docs, labels)
+    assert seen and max(seen) <= 40
