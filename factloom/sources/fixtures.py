@@ -175,3 +175,18 @@ def derivation_cases(spark, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "million").when(k % 5 == 1, "percent").when(k % 5 == 2, "").when(k % 5 == 3, "dozen").alias("scale"),
         F.when(k % 7 == 0, "yes").when(k % 7 == 1, F.concat((k % 100).cast("string"), F.lit("%"))).otherwise(price).alias("answer"),
     )
+
+
+def suite_facts(spark, sf_dir: str) -> DataFrame:
+    """(ticker, metric, year, ordinal, value): up to three values of the reported metrics in each cell, and one of the profits."""
+    profits = facts(spark, sf_dir).where(F.col("metric").isin(*METRICS[4:])).withColumn("ordinal", F.lit("T"))
+    return facts_raw(spark, sf_dir).unionByName(profits)
+
+
+def upkeep_facts(spark, sf_dir: str) -> DataFrame:
+    """The valid observations, numbered within their case, with their company and name as written."""
+    from pyspark.sql import Window
+
+    o = observations(spark, sf_dir).where("unit <> '' and quote <> ''")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("raw_metric", "year", "ordinal"))
+    return o.select("case_id", "ticker", F.col("raw_metric").alias("metric"), "year", "value", "unit", "quote", "ordinal", place.alias("place"), F.concat(F.lit("Company "), "ticker").alias("company"))
