@@ -46,3 +46,81 @@ def stratified_split(df: DataFrame, pool: str, key: str, order: list, quotas: di
     kept = (F.col("_c") == 1) & (place <= quota)
     reason = F.when(F.col("_c") > 1, "company_used").when(~kept, "quota_full")
     return d.select(*df.columns, F.when(kept, split).otherwise("rejected").alias("split"), reason.alias("reason"))
+
+
+# Slices and categories of the pools, and quotas.
+PRIMARY = ("S1_FIN_COMP", "S3_CO_COMP", "S1_FIN_TYPED", "S3_CO_TYPED")
+CONTROL = "S6_BASELINE_SINGLE"
+CONTROL_KINDS = ("Financials", "Company Overview", "Footnotes", "Risk", "Legal", "Governance")
+DEMO_KINDS = (*CONTROL_KINDS, "Accounting", "Shareholder Return")
+POOL_QUOTAS = {"dev": 20, "test": 20, "control": 5, "demo": 5, "overview": 6, "per_ticker": 2}
+
+
+def deal_in_turn(overview: list, financials: list, quotas: dict[str, int]) -> dict:
+    """{key: split} for (key, company) in order: so many overviews to dev and then to test, and all others to whichever is shorter, a company once in test."""
+    dev, test, used, companies = [], [], {}, set()
+    n = {"dev": 0, "test": 0}
+
+    def add(row, target) -> bool:
+        key, company = row
+        if key in used or (target is test and company != "Unknown" and company in companies) or len(target) >= quotas["dev" if target is dev else "test"]:
+            return False
+        target.append(key)
+        used[key] = "dev" if target is dev else "test"
+        if target is test:
+            companies.add(company)
+        return True
+
+    for row in overview:
+        for name, target in (("dev", dev), ("test", test)):
+            if n[name] < quotas["overview"]:
+                n[name] += add(row, target)
+                break
+        else:
+            break
+    for row in [*financials, *overview]:
+        if row[0] not in used:
+            first, second = (dev, test) if len(dev) <= len(test) else (test, dev)
+            _ = add(row, first) or add(row, second)
+        if len(dev) >= quotas["dev"] and len(test) >= quotas["test"]:
+            break
+    return used
+
+
+def pools(candidates: DataFrame, priority: tuple[str, ...], least: float = 8.0, quotas: dict[str, int] = POOL_QUOTAS) -> DataFrame:
+    """candidates with split and reason: dev, test, control, demo, or none with the one reason of the rejection.
+
+    candidates: (source_id, company, ticker, category, slice, facts, quality, fairness). Dev and test are dealt in turn
+    from those of the primary slices with two facts and enough quality, best first; controls come from what is left, by
+    fairness; demos, two of a priority ticker at most, from what is left then. Only rows that can be reached by the
+    quotas are dealt one by one: of a company, no more than dev can take and one, and of those the first few hundred.
+    """
+    spark = candidates.sparkSession
+    best = [F.desc("quality"), F.desc("fairness"), "source_id"]
+    ok = (F.col("facts") >= 2) & (F.col("quality") >= least)
+    primary = candidates.where(ok & F.col("slice").isin(*PRIMARY))
+    reach = (quotas["dev"] + 1) * (quotas["test"] + 1) + quotas["dev"] + quotas["test"]  # rows that the quotas can reach at most
+
+    def first(category: str) -> list:
+        known = F.when(F.col("company") == "Unknown", F.concat(F.lit("?"), F.col("source_id").cast("string"))).otherwise(F.col("company"))
+        few = primary.where(F.col("category") == category).withColumn("_k", known)
+        few = few.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*best))).where(F.col("_r") <= quotas["dev"] + 1)
+        return [(r.source_id, r.company) for r in few.orderBy(*best).limit(reach).select("source_id", "company").collect()]  # bounded by reach
+
+    dealt = deal_in_turn(first("Company Overview"), first("Financials"), quotas)
+    split = spark.createDataFrame([(k, v) for k, v in dealt.items()], f"source_id {candidates.schema['source_id'].dataType.simpleString()}, split string")
+    c = candidates.join(F.broadcast(split), "source_id", "left")  # dev and test rows at most
+
+    def take(df: DataFrame, name: str, pool: Column, order: list, n: int, per: str | None = None, most: int = 0) -> DataFrame:
+        left = df.where(pool & F.col("split").isNull())
+        if per:
+            left = left.withColumn("_r", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_r") <= most)
+        ids = left.orderBy(*order).limit(n).select("source_id", F.lit(name).alias("_s"))
+        return df.join(F.broadcast(ids), "source_id", "left").withColumn("split", F.coalesce("split", "_s")).drop("_s")  # n rows
+
+    controls = (F.col("slice") == CONTROL) & (F.col("facts") >= 1) & (F.col("quality") >= least) & F.col("category").isin(*CONTROL_KINDS)
+    c = take(c, "control", controls, [F.desc("fairness"), F.desc("facts"), F.desc("quality"), "source_id"], quotas["control"])
+    demos = F.col("ticker").isin(*priority) & ok & F.col("category").isin(*DEMO_KINDS)
+    c = take(c, "demo", demos, [F.desc("facts"), F.desc("quality"), "source_id"], quotas["demo"], "ticker", quotas["per_ticker"])
+    reason = F.when(F.col("facts") == 0, "no_parser_verified_required_facts").when(F.col("quality") < least, "quality_score_below_selection_threshold").otherwise("lower_score_or_duplicate")
+    return c.select(*candidates.columns, F.coalesce("split", F.lit("rejected")).alias("split"), F.when(F.col("split").isNull(), reason).alias("reason"))

@@ -190,3 +190,36 @@ def upkeep_facts(spark, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir).where("unit <> '' and quote <> ''")
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("raw_metric", "year", "ordinal"))
     return o.select("case_id", "ticker", F.col("raw_metric").alias("metric"), "year", "value", "unit", "quote", "ordinal", place.alias("place"), F.concat(F.lit("Company "), "ticker").alias("company"))
+
+
+def answered_facts(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of each order (a case) from its lines, and an answer that gives some of them: in millions, in percent, negated, or without its year or names."""
+    p = F.col("l_extendedprice").cast("decimal(12,2)")
+    k = (F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 7
+    names = F.array(*map(F.lit, ("total_revenue", "cost_of_sales", "net_income", "operating_expense", "gross_profit", "long_term_debt_of_the_group", "")))
+    metric, year = F.get(names, ((F.col("l_linenumber") - 1) % 7).cast("int")), (2014 + F.col("l_linenumber")).cast("int")
+    entity = F.when(F.col("l_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")))
+    unit = F.when(k == 1, "currency_millions").when(k == 2, "percentage").otherwise("amount")
+    lines = read(spark, sf_dir, "lineitem").where("l_linenumber <= 5").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("l_extendedprice"), F.min("l_suppkey").alias("l_suppkey"))
+    number = p.cast("string")
+    said = (
+        F.when(k == 0, F.concat(metric, F.lit(" was $"), number)).when(k == 1, F.concat(F.lit("Total Revenue and Net: "), number, F.lit(" million"))).when(k == 2, F.concat(number, F.lit("% of sales")))
+        .when(k == 3, F.concat(F.lit("("), number, F.lit(") lost"))).when(k == 4, F.concat(entity, F.lit(" had "), (p * F.lit("1.004").cast("decimal(4,3)")).cast("string"))).when(k == 5, F.concat(metric, F.lit(" near "), (p * F.lit("1.2").cast("decimal(2,1)")).cast("string"))).otherwise("nothing")
+    )
+    said = F.when(k == 6, said).otherwise(F.concat(said, F.when(F.col("l_linenumber") != 3, F.concat(F.lit(" in "), year.cast("string"))).otherwise("")))
+    facts = lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("fact_id"), metric.alias("metric"), entity.alias("entity"), F.when(F.col("l_orderkey") % 6 > 0, year).alias("year"), p.cast("double").alias("value"), unit.alias("unit"))
+    texts = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", said.alias("s")))).alias("x"))
+    answers = texts.select(F.col("l_orderkey").alias("trace_id"), F.col("l_orderkey").alias("case_id"), F.when(F.col("l_orderkey") % 23 > 0, F.array_join("x.s", "; ")).alias("text"))
+    return facts, answers
+
+
+def pool_candidates(spark, sf_dir: str) -> DataFrame:
+    """A candidate for each order: source_id, company, ticker, category, slice, facts, quality, fairness."""
+    k = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    return read(spark, sf_dir, "orders").select(
+        k.alias("source_id"), F.when(F.col("o_custkey") % 17 == 0, "Unknown").otherwise(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))).alias("company"),
+        F.concat(F.lit("T"), (F.col("o_custkey") % 40).cast("string")).alias("ticker"), pick(("Financials", "Company Overview", "Risk", "Legal", "Accounting"), k % 5).alias("category"),
+        pick(("S1_FIN_COMP", "S3_CO_COMP", "S6_BASELINE_SINGLE", "S9_OTHER"), F.floor(k / 5) % 4).alias("slice"), (k % 4).cast("int").alias("facts"),
+        F.floor(F.col("o_totalprice") / 50000).cast("int").alias("quality"), (k * 7 % 101).cast("int").alias("fairness"),
+    )

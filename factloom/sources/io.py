@@ -68,3 +68,22 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     if m["chunks"] != m["vectors"] or df.count() != m["chunks"]:
         raise ValueError(f"{path}: {m['chunks']} chunks, {m['vectors']} vectors in the manifest")
     return df
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds; nothing where it isn't there."""
+    fs, p = _file_system(spark, path)
+    return [f.getPath().toString() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take a folder away, if it is there."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
