@@ -32,7 +32,7 @@ from .tokens import mix, pair, pieces, word_hashes
 
 #: Bytes of text for each bucket of signatures; signatures that a task gathers before it sends them; sets of one block,
 #: and sketches of one.
-BUCKET_BYTES, HELD, BLOCK, SKETCH_BLOCK = 12 << 20, 1_200_000, 512, 2048
+BUCKET_BYTES, HELD, BLOCK, SKETCH_BLOCK = 8 << 20, 800_000, 256, 2048
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +317,10 @@ def linked_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     Rows without an id are linked with nothing and have no component; empty texts are linked with nothing. Equal
     sets are one class, whose id is cid, and linked. tkey is a hash of the text. Repeated rows are each returned; an empty table gives no rows.
+    A percent below 50 is refused, as sketches are compared at one size or its double.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent {percent}: similarities from 50 to 100 can be asked for")
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     base = stash(sizes_of(docs, words))

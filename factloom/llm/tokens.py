@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters of text that are hashed together.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _LETTER = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTER[65:91] = _LETTER[97:123]
 _SPACE = np.zeros(256, bool)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import quality, registry, trie, vectors, whitening
+from factloom.llm import near, quality, registry, trie, vectors, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -270,3 +270,17 @@ def test_labelled_ids_bring_one_row_each_to_the_driver(spark, monkeypatch, modul
     monkeypatch.setattr(type(docs), "toPandas", spy)
     {"toxicity": toxicity, "quality": quality}[module].fit_on(docs, labels)
     assert seen and max(seen) <= 40
+
+
+@pytest.mark.parametrize("percent", [49, 0, 101])
+def test_op6_refuses_similarities_it_would_lose_links_at(spark, percent):
+    with pytest.raises(ValueError, match="percent"):
+        near.jaccard_join(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), 3, percent)
+
+
+def test_near_copies_of_rows_that_share_ids(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect())) == [(3, a), (5, b)]
