@@ -146,6 +146,34 @@ def ticker_in(question: Column) -> Column:
     return F.coalesce(*found, F.concat(F.lit("C"), F.upper(F.substring(F.sha2(question.cast("binary"), 256), 1, 5))))
 
 
+# Capital words of financial questions that are no tickers.
+NO_TICKERS = ("FY", "US", "EPS", "GAAP", "CEO", "CFO", "Q", "YOY", "ROE", "ROA", "CAPEX", "EBIT", "R", "D", "AND", "THE", "A", "I", "IT", "OF", "IN")
+
+
+def ticker_of(question: Column, deny: tuple[str, ...] = NO_TICKERS) -> Column:
+    """The ticker a question names: in parentheses; at its end, after "for", before a fiscal or plain year, or before a measure; the only capital word; the first five letters of its first name; else C and five digits of a hash.
+
+    Words of ``deny`` are none. A null question is taken as empty.
+    """
+    q = F.coalesce(question, F.lit(""))
+    good = lambda t: F.when(F.upper(t).rlike("^[A-Z]{1,5}$") & ~F.upper(t).isin(*deny), F.upper(t))
+    first = lambda found: F.get(F.filter(F.transform(found, good), lambda t: t.isNotNull()), F.lit(0))
+    inside = first(F.regexp_extract_all(q, F.lit(r"\(([A-Z]{1,5})\)"), F.lit(1)))
+    places = (r",\s*([A-Z]{1,5})\.?\s*$", r"\bfor\s+([A-Z]{1,5})\b", r"\b([A-Z]{1,5})\s+FY\d{2,4}\b", r"\b([A-Z]{1,5})\s+\d{4}\b", r"^([A-Z]{1,5})\s+(?:EPS|revenue|sales|margin|income|operating|net)\b")
+    placed = [good(F.nullif(F.regexp_extract(q, p, 1), F.lit(""))) for p in places]
+    words = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(q, F.lit(r"\b[A-Z]{1,5}\b"), F.lit(0)), good), lambda t: t.isNotNull()))
+    only = F.when(F.size(words) == 1, words[0])
+    name = good(F.substring(F.nullif(F.regexp_extract(F.trim(q), r"^([A-Z][A-Za-z&.\-]+)", 1), F.lit("")), 1, 5))
+    return F.coalesce(inside, *placed, only, name, F.concat(F.lit("C"), F.upper(F.substring(F.sha2(q.cast("binary"), 256), 1, 5))))
+
+
+def company_of(evidence: Column, ticker: Column) -> Column:
+    """The first line that isn't blank, without "and Subsidiaries" or "Consolidated" and what follows, if it has letters and 2 to 100 characters; else the ticker, or Unknown."""
+    lines = F.filter(F.transform(F.split(F.coalesce(evidence, F.lit("")), r"[\r\n]"), strip), lambda x: x != "")
+    line = F.regexp_replace(F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), r"\s+and\s+Subsidiaries.*", ""), r"\s+Consolidated.*", "")
+    return F.when(F.length(line).between(2, 100) & line.rlike("[A-Za-z]"), F.btrim(line, F.lit(" ,."))).otherwise(F.coalesce(F.nullif(ticker, F.lit("")), F.lit("Unknown")))
+
+
 def valid_ticker(c: Column, deny: tuple[str, ...]) -> Column:
     """The normalised ticker, or null."""
     t = F.replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), F.lit("."), F.lit(""))
@@ -229,6 +257,31 @@ def quality(reasoning: Column, text: Column, question: Column, answer: Column) -
     )
 
 
+def derivation_quality(evidence: Column, question: Column, derivation: Column) -> Column:
+    """Capped shares of numbers in the evidence and of the lengths of derivation and question."""
+    return F.round(F.least(F.lit(6.0), F.regexp_count(evidence, F.lit(PLAIN_NUMBER)) / 5.0) + F.least(F.lit(3.0), F.length(derivation) / 20.0) + F.least(F.lit(3.0), F.length(question) / 40.0), 4)
+
+
+# Weights of ways of reasoning, and words of a calculated answer.
+REASONING = {"Compositional": 3.0, "Division": 2.2, "Addition": 2.0, "Subtraction": 2.0, "Multiplication": 1.8}
+CALCULATED = r"(?i)\b(calculated|minus|divided|increase|decrease|margin|ratio|percentage|growth|sum)\b"
+
+
+def case_scores(category: Column, reasoning: Column, text: Column, question: Column, answer: Column, facts: Column) -> Column:
+    """struct(quality, fairness) of a case with so many required facts, each to three places."""
+    core = category.isin("Financials", "Company Overview")
+    weight = F.lit(0.4)
+    for k, v in REASONING.items():
+        weight = F.when(reasoning == k, v).otherwise(weight)
+    numbers = F.regexp_count(text, F.lit(PLAIN_NUMBER))
+    quality_ = (
+        F.when(core, 3.0).otherwise(1.0) + weight + F.least(F.lit(3.0), F.size(years_in(text)) * 0.8) + F.least(F.lit(3.0), facts * 0.55) + F.least(F.lit(3), F.floor(numbers / 12))
+        + F.when(answer.rlike(CALCULATED), 1.2).otherwise(0.0) + F.when(F.length(question).between(20, 180), 0.6).otherwise(0.0) + F.when(facts >= 2, 1.0).otherwise(0.0)
+    )
+    fairness = F.when(core, 1.5).otherwise(0.8) + F.when((text != "") & (answer != ""), 1.0).otherwise(0.0) + F.when(facts >= 2, 1.0).otherwise(0.0) + F.when(reasoning == "None", 0.8).otherwise(0.4) + F.when(F.contains(F.lower(answer), F.lit("calculated")), 0.7).otherwise(0.0)
+    return F.struct(F.round(quality_, 3).alias("quality"), F.round(fairness, 3).alias("fairness"))
+
+
 def verdict_of(text: Column) -> Column:
     """struct(verdict, score) of the first JSON object in a model's text; parse_fail and null where there is no valid one."""
     found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)

@@ -207,3 +207,24 @@ def from_derivations(cases: DataFrame, most_program: int = 8, most_derivation: i
         F.when(ok, F.when(F.col("_p"), "finqa_program_answer").otherwise("final_result")).alias("slot"), F.when(ok, F.col("expected")).alias("expected"), unit.alias("unit"),
         F.when(ok, limit).alias("tolerance"), F.when(F.col("_p"), F.element_at(F.concat(F.array(F.lit(None).cast("double")), run_program(F.col("program"))), -1)).alias("computed"), reason.alias("reason"),
     )
+
+
+def merge(sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """(case_id, origin, slots, filled): one contract for each case, its slots filled from facts where it has none.
+
+    sources: (case_id, origin, priority, overrides, slots: array<struct<name, expected, unit>>). A source that overrides
+    wins over the others, the last of them by priority; else the first by priority that has slots, else the first.
+    facts: (case_id, metric, year, value, unit, place) fill what is left, in order of place, each (metric, year, value)
+    once, as ``source_<metric>_<year>_<number>``.
+    """
+    w = F.struct((~F.col("overrides")).alias("o"), F.when(~F.col("overrides"), F.size("slots") == 0).alias("empty"), F.when(F.col("overrides"), -F.col("priority")).otherwise(F.col("priority")).alias("p"), "origin")
+    one = sources.withColumn("slots", F.coalesce("slots", F.array().cast(sources.schema["slots"].dataType))).groupBy("case_id").agg(F.min_by(F.struct("origin", "slots"), w).alias("x")).select("case_id", "x.*")
+    bare_ = one.where(F.size("slots") == 0).select("case_id")
+    f = facts.join(bare_, "case_id", "left_semi").groupBy("case_id", "metric", "year", "value").agg(F.min_by("unit", "place").alias("unit"), F.min("place").alias("place"))
+    f = f.withColumn("i", F.row_number().over(Window.partitionBy("case_id").orderBy("place", "metric")))
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = F.concat_ws("_", F.lit("source"), text_of("metric"), text_of("year"), F.lpad(F.col("i").cast("string"), 2, "0"))
+    made = f.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("i", named.alias("name"), F.col("value").cast("string").alias("expected"), F.coalesce("unit", F.lit("")).alias("unit")))).alias("m"))  # the distinct facts of a case
+    out = one.join(made, "case_id", "left")
+    filled = F.transform("m", lambda x: F.struct(x["name"].alias("name"), x["expected"].alias("expected"), x["unit"].alias("unit")))
+    return out.select("case_id", "origin", F.when(F.col("m").isNotNull(), filled).otherwise(F.col("slots")).alias("slots"), F.col("m").isNotNull().alias("filled"))

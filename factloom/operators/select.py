@@ -29,6 +29,27 @@ def first_per_bucket(df: DataFrame, buckets: list[tuple[str, Column, int]], orde
     return d.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).where("place <= _q").drop("_q")
 
 
+def samples_in_turn(df: DataFrame, buckets: list[tuple[str, Column, int]], order: list) -> DataFrame:
+    """df's rows with ``bucket`` and ``place``: of each bucket (name, condition, quota) in turn the first rows by order that no earlier bucket took.
+
+    A row that fits a full bucket goes on to the next that it fits. Only the first rows of each combination of buckets can
+    be taken, as many as all quotas together; these few are dealt bucket by bucket.
+    """
+    most = sum(q for _, _, q in buckets)
+    fits = F.array(*[F.coalesce(c, F.lit(False)) for _, c, _ in buckets])
+    w = Window.partitionBy("_fits").orderBy(*order)
+    few = df.withColumn("_fits", fits).where(F.exists("_fits", lambda x: x)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    rank = F.row_number().over(Window.orderBy(*order)).alias("_rank")
+    few = few.select("*", rank)  # at most the quotas together for each combination
+    taken = None
+    for k, (name, _, quota) in enumerate(buckets):
+        left = few.where(F.col("_fits")[k])
+        left = left if taken is None else left.join(taken.select("_rank"), "_rank", "left_anti")
+        got = left.withColumn("place", F.row_number().over(Window.orderBy("_rank"))).where(F.col("place") <= quota).select("_rank", F.lit(name).alias("bucket"), "place")
+        taken = got if taken is None else taken.unionByName(got)
+    return few.join(taken, "_rank").drop("_fits", "_n", "_rank")
+
+
 def first_source(frames: list[DataFrame], key: str) -> DataFrame:
     """Rows of all frames, each key from the first frame that has it."""
     all_ = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("priority", F.lit(k)) for k, f in enumerate(frames)])

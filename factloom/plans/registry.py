@@ -1,8 +1,8 @@
 """All queries of the library proper, and their SQL twins."""
 
-from . import contract_plans, evidence_plans, graph_plans, io_plans, score_plans, slot_plans, text_plans, upkeep_plans
+from . import contract_plans, evidence_plans, gate_plans, graph_plans, io_plans, score_plans, slot_plans, text_plans, upkeep_plans
 
-_PLANS = (text_plans, graph_plans, score_plans, io_plans, slot_plans, contract_plans, upkeep_plans, evidence_plans)
+_PLANS = (text_plans, graph_plans, score_plans, io_plans, slot_plans, contract_plans, upkeep_plans, evidence_plans, gate_plans)
 
 
 def queries():

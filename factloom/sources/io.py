@@ -30,6 +30,40 @@ def unwrap_references(c: str) -> F.Column:
     return F.when(F.ltrim(c).startswith("["), F.coalesce(F.array_join(items, "\n"), F.col(c))).otherwise(F.col(c))
 
 
+def read_json_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of files that each hold one JSON array: (id, category, reasoning_type, text, question, expected_answer), every field from the first of its names that isn't empty."""
+    schema = "id string, _id string, category string, reasoning_type string, type string, text string, references string, question string, expected_answer string, answer string"
+    r = spark.read.schema(schema).option("multiLine", True).json(path)
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(""))
+    return r.select(
+        F.coalesce(F.nullif("id", F.lit("")), "_id").alias("id"), F.coalesce("category", F.lit("")).alias("category"), first("reasoning_type", "type").alias("reasoning_type"),
+        first("text", "references").alias("text"), first("question", "text").alias("question"), first("expected_answer", "answer").alias("expected_answer"),
+    )
+
+
+def table_evidence(table: str, before: str, after: str) -> F.Column:
+    """A table's lines, then the texts before and after it, each part that isn't blank on lines of its own."""
+    parts = F.array(linearise(table), F.array_join(before, " "), F.array_join(after, " "))
+    return F.array_join(F.filter(F.transform(parts, lambda p: F.coalesce(p, F.lit(""))), lambda p: F.trim(p) != ""), "\n")
+
+
+def context_evidence(table: str, paragraphs: str) -> F.Column:
+    """A table's cells by tabs under TABLE, and paragraphs, an array of texts, under CONTEXT."""
+    rows = F.array_join(F.transform(F.coalesce(table, F.array().cast("array<array<string>>")), lambda r: F.array_join(r, "\t", "")), "\n")
+    return F.concat(F.lit("TABLE\n"), rows, F.lit("\n\nCONTEXT\n"), F.array_join(F.coalesce(paragraphs, F.array().cast("array<string>")), "\n", ""))
+
+
+def exposures(spark: SparkSession, path: str, pattern: str, special: str, names: tuple[str, str]) -> DataFrame:
+    """(case_id, category, sources): ids that whole files below a folder mention, with the files' paths.
+
+    A file is of the second category if its text has ``special`` in any case, else of the first.
+    """
+    t = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("source"))
+    category = F.when(F.contains(F.lower("value"), F.lit(special)), names[1]).otherwise(names[0])
+    found = t.select("source", category.alias("category"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(pattern), F.lit(0)))).alias("case_id"))
+    return found.groupBy("case_id", "category").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
 def linearise(table: str) -> F.Column:
     """An array of rows of cells as lines with bars."""
     return F.array_join(F.transform(table, lambda row: F.array_join(row, " | ", "")), "\n")
