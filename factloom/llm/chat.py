@@ -99,7 +99,8 @@ def parse(formatted: Column) -> Column:
 def op4_event_chat(spark, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, logged, folded, rendered, and read back from the rendered text."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    probe = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
+    probe = probe.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = render(fold(log_of(rows.unionByName(probe))))
     said = F.transform(F.col("turns"), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     masked = F.transform("mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
