@@ -102,7 +102,7 @@ def context_checks(context: Column, numbers: Column, metric: Column, companies:
 
 
 def consistency_warnings(answer: Column, calculation: Column, question: Column, years: Column) -> Column:
-    """Codes in order: percentages near a year that differ by over 0.35 from all the calculation has there; inventory turnover, and that without a prior year.
+    """Codes in order: percentages (by sign or word) near a year of the last or this century that differ by over 0.35 from all the calculation has there; inventory turnover, and that without a prior year.
 
     years are those of the facts; what comes before the first of them is never among them.
     """
@@ -110,10 +110,10 @@ def consistency_warnings(answer: Column, calculation: Column, question: Column,
     def percents(words: Column, year: Column) -> Column:
         at = F.position(year, words)
         start = F.greatest(F.lit(1), at - 90)
-        found = F.regexp_extract_all(F.substring(words, start, at + 180 - start), F.lit(r"(-?\d[\d,]*(?:\.\d+)?)\s*%"), F.lit(1))
+        found = F.regexp_extract_all(F.substring(words, start, at + 180 - start), F.lit(r"(?i)(-?\d[\d,]*(?:\.\d+)?)\s*(?:%|percent)"), F.lit(1))
         return F.transform(found, lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double"))
 
-    of = lambda words: F.array_distinct(F.regexp_extract_all(words, F.lit(text.YEAR), F.lit(1)))
+    of = lambda words: F.array_distinct(F.regexp_extract_all(words, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1)))
 
     def differs(year: Column) -> Column:
         there = percents(calculation, year)

@@ -149,10 +149,10 @@ def _(spark, d):
 
 def sc13_percents(t: str) -> str:
     window = f"substr({t}, greatest(1, strpos({t}, y) - 90), strpos({t}, y) + 180 - greatest(1, strpos({t}, y) - 90))"
-    return rf"list_transform(regexp_extract_all({window}, '(-?\d[\d,]*(?:\.\d+)?)\s*%', 1), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE))"
+    return rf"list_transform(regexp_extract_all({window}, '(?i)(-?\d[\d,]*(?:\.\d+)?)\s*(?:%|percent)', 1), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE))"
 
 
-SC13_YEARS = r"list_distinct(regexp_extract_all({0}, '\b(19[89]\d|20[0-3]\d)\b', 1))"
+SC13_YEARS = r"list_distinct(regexp_extract_all({0}, '\b((?:19|20)\d\d)\b', 1))"
 
 
 @query(

@@ -150,3 +150,16 @@ def test_means_by_mode(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", 0), ("a", "y", 1), ("b", "y", None)], "r string, c string, v int")
     got = {r.r: tuple(r)[1:] for r in report.pivot_means(df, "r", "c", ("x", "y"), "v").collect()}
     assert got == {"a": (0.5, 2, 1.0, 1, 0.6667, 3), "b": (None, 0, None, 0, 0.0, 0)}
+
+
+@pytest.mark.parametrize(
+    ("answer", "calculation", "codes"),
+    [
+        ("In 1975 it was 12 percent", "1975: 12.5 Percentage points", ["final_answer_calculation_mismatch"]),
+        ("In 1975 it was 12 percent", "1975: 12.3 %", []),
+        ("In 2055 it was 12%", "2055: 14 percent", ["final_answer_calculation_mismatch"]),
+    ],
+)
+def test_percent_in_words_and_years_of_two_centuries(spark, answer, calculation, codes):
+    df = spark.createDataFrame([(answer, calculation, "q", [1])], "a string, c string, q string, y array<int>")
+    assert df.select(score.consistency_warnings(*map(F.col, "acqy"))).first()[0] == codes
