@@ -33,8 +33,8 @@ def near(x: str) -> str:
     return f"abs({x} - n.v) <= greatest(0.005 * greatest(abs({x}), abs(n.v)), 0.02)"
 
 
-ANSWERED = f"""al AS (SELECT l_orderkey, l_linenumber, CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS p, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL),
-  ak AS (SELECT *, (l_orderkey * 3 + l_linenumber) % 7 AS k, ['total_revenue', 'cost_of_sales', 'net_income', 'operating_expense', 'gross_profit'][l_linenumber] AS metric, 2014 + l_linenumber AS y, CASE WHEN s % 4 = 0 THEN '' ELSE 'Supplier ' || s END AS entity FROM al),
+ANSWERED = f"""al AS (SELECT l_orderkey, l_linenumber, CAST(min(l_extendedprice) AS DECIMAL(12,2)) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+  ak AS (SELECT *, (l_orderkey * 3 + l_linenumber) % 7 AS k, ['total_revenue', 'cost_of_sales', 'net_income', 'operating_expense', 'gross_profit', 'long_term_debt_of_the_group', ''][l_linenumber] AS metric, 2014 + l_linenumber AS y, CASE WHEN s % 4 = 0 THEN '' ELSE 'Supplier ' || s END AS entity FROM al),
   asaid AS (SELECT *, CASE k WHEN 0 THEN metric || ' was $' || p WHEN 1 THEN 'Total Revenue and Net: ' || p || ' million' WHEN 2 THEN p || '% of sales' WHEN 3 THEN '(' || p || ') lost' WHEN 4 THEN entity || ' had ' || (p * 1.004::DECIMAL(4,3)) WHEN 5 THEN metric || ' near ' || (p * 1.2::DECIMAL(2,1)) ELSE 'nothing' END || CASE WHEN k <> 6 AND l_linenumber <> 3 THEN ' in ' || y ELSE '' END AS said FROM ak),
   atext AS (SELECT l_orderkey, CASE WHEN l_orderkey % 23 > 0 THEN string_agg(said, '; ' ORDER BY l_linenumber) ELSE '' END AS t FROM asaid GROUP BY l_orderkey),
   aread AS (SELECT *, {NUMBERS.format('t')} AS ns, {WORDS.format('t')} AS ws FROM atext),
