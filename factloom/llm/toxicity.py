@@ -6,10 +6,9 @@ toxic dictionary saves are the window's distance. A document's score is a calibr
 strongly its windows are nearer to toxic text.
 
 Fitting: at most FIT_ROWS labelled rows, those with the smallest hash of their id, taken alike at every size. Near
-copies count once among them, and so does each id. Their whole texts are read, in Spark tasks: words are counted, and
-features made, where the rows are. The ordinary dictionary is trained on whole texts of plain ones among them:
-ORDINARY_ROWS at most, each of ORDINARY_TEXT bytes at most, so that no long text outweighs the others; longer ones take
-no part in it. Everything else covers whole texts of all documents.
+copies count once among them, and so does each id. Their whole texts are read, in Spark tasks: words are counted, and features made, where
+the rows are. The ordinary dictionary is trained on a sample: windows spread evenly over the whole texts of
+ORDINARY_ROWS of the plain ones. Everything else covers whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -29,14 +28,15 @@ from pyspark.sql import functions as F
 from .common import stash, table, tune
 from .tokens import pieces
 
-#: Bound of the labelled rows a model is fitted on; of the plain ones among them that the ordinary dictionary is trained on, and of the bytes of one such text.
-FIT_ROWS, ORDINARY_ROWS, ORDINARY_TEXT = 12_000, 1500, 2560
+#: Bound of the labelled rows a model is fitted on; of the plain ones among them that the ordinary dictionary is trained on, and of the windows drawn from each.
+FIT_ROWS, ORDINARY_ROWS, ORDINARY_WINDOWS = 12_000, 1500, 40
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL, WINDOW_BYTES = 8192, 2048, 3, 64
 #: Follows each window, as no match may start in the last bytes of an input. Long enough for the block to be stored compressed whatever the window holds.
 CARRIER = b"#0!1$2%3&4(5)6*7+8/9:<;=>?@[]^_`{|}~#!$%&()*+/"
 #: Distances of this many bytes and more count as hits.
 HIT = 3
-CACHE = 300_000
+#: Distances of words that a task keeps.
+CACHE = 60_000
 _TRIM = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
@@ -119,10 +119,17 @@ def _meter(ordinary: bytes, toxic: bytes) -> Meter:
     return Meter(ordinary, toxic)
 
 
-def whole(text: str) -> list[bytes]:
-    """The text in lower case, WINDOW_BYTES at a time."""
+def spread(text: str) -> list[bytes]:
+    """At most ORDINARY_WINDOWS of the text's windows of WINDOW_BYTES, evenly from its first to its last."""
     b = text.lower().encode()
-    return [b[i : i + WINDOW_BYTES] for i in range(0, len(b), WINDOW_BYTES)]
+    n = -(-len(b) // WINDOW_BYTES)
+    at = np.unique(np.linspace(0, n - 1, min(n, ORDINARY_WINDOWS)).astype(int)) * WINDOW_BYTES
+    return [b[i : i + WINDOW_BYTES] for i in at.tolist()]
+
+
+def _windows(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spread(t) for t in b.column(1).to_pylist()], pa.list_(pa.binary()))], ["row", "windows"])
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -149,8 +156,9 @@ def _read(batches):
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most FIT_ROWS rows of docs that have a label and aren't held out.
 
-    Of each row only its id, family, size and features come to the driver, and the texts that the ordinary dictionary is
-    trained on. Of several texts of one id the one with the smallest hash counts; an id with both labels counts as either. With fewer than two classes nothing is rejected: every score is a quarter.
+    Of each row only its id, family and features come to the driver, and the windows that the ordinary dictionary is
+    trained on. Of several texts of one id the one with the smallest hash counts; an id with both labels counts as either.
+    With fewer than two classes nothing is rejected: every score is a quarter.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -161,7 +169,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one for each id
     rows = rows.select(F.xxhash64("doc_id", "toxic").alias("row"), "doc_id", "toxic", "text")
     rows = stash(rows.mapInArrow(_read, "row long, doc_id long, toxic int, text string, family long, words array<string>, counts array<long>"))
-    each = rows.select("row", "doc_id", "toxic", "family", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("size")).toPandas()
+    each = rows.select("row", "doc_id", "toxic", "family", F.xxhash64("text").alias("hash")).toPandas()
     each = each.sort_values(["toxic", "doc_id", "hash"], ascending=[False, True, True]).drop_duplicates(["toxic", "family"])  # one of each family of near copies
     n, plain = int((each["toxic"] == 1).sum()), each["row"][each["toxic"] == 0].to_numpy()
     if not n or not len(plain):
@@ -177,11 +185,9 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     rng = np.random.default_rng(0)
     samples = [f" {w} ".encode().ljust(12, b"\n") for w, t in sorted(zip(apart["w"], apart["t"])) for _ in range(int(t))]  # the trainer skips short samples
     samples = [samples[i] for i in rng.permutation(len(samples))]
-    plain = each["row"][(each["toxic"] == 0) & (each["size"] <= ORDINARY_TEXT)].to_numpy()
-    some = plain[rng.permutation(len(plain))[:ORDINARY_ROWS]]  # bounded by ORDINARY_ROWS and ORDINARY_TEXT
-    drawn = only(some.astype("int64")).select("row", "text").toPandas().set_index("row")["text"].loc[some]
-    windows = [w for t in drawn for w in whole(t)]
-    windows = [windows[i] for i in rng.permutation(len(windows))]
+    some = plain[rng.permutation(len(plain))[:ORDINARY_ROWS]]  # bounded by ORDINARY_ROWS
+    drawn = only(some).select("row", "text").mapInArrow(_windows, "row long, windows array<binary>").toPandas().set_index("row")["windows"].loc[some]
+    windows = [bytes(w) for ws in drawn for w in ws]
     model = Model(_train(windows, ORDINARY_BYTES, 64, 8), _train(samples, TOXIC_BYTES, 12, 6), np.zeros(5))
     held = spark.sparkContext.broadcast(model)
 
@@ -204,6 +210,7 @@ def score_table(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t or "") for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+        m.meter.cache.clear()  # the worker goes on to other stages
 
     tune(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -218,6 +225,7 @@ def drop_toxic(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
         for b in batches:
             k = b.schema.get_field_index("text")
             yield b.filter(pa.array([m.score(t or "") < at for t in b.column(k).to_pylist()], pa.bool_()))
+        m.meter.cache.clear()  # the worker goes on to other stages
 
     tune(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
