@@ -435,5 +435,5 @@ def test_pipeline(spark, odd, tmp_path):
 
 
 def test_registry_names():
-    assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in registry.queries()] == [f"op{n}" for n in range(1, 14)]
     json.dumps(registry.oracle_sql())
