@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import near, quality, registry, trie, vectors, whitening
+from factloom.llm import near, quality, registry, sharding, trie, vectors, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -284,3 +284,49 @@ def test_near_copies_of_rows_that_share_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
     assert sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect())) == [(3, a), (5, b)]
+
+
+@pytest.mark.parametrize(("shards", "vnodes", "slack"), [(4, 3, 0.0), (5, 8, 0.25)])
+def test_op3_equals_a_walk_row_by_row(spark, shards, vnodes, slack):
+    keys = [None if i % 50 == 7 else i % 90 if i % 3 else 5 for i in range(400)]  # a third of all rows have one key
+    df = spark.createDataFrame([(k, i % 4) for i, k in enumerate(keys)], "k long, a int")
+    got = sharding.bounded_ring(df, "k", ["a"], shards, vnodes, slack).collect()
+
+    where, owner = sharding.ring(shards, vnodes)
+    hashed = df.select("k", "a", F.when(F.col("k").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("k")).alias("h")).collect()
+    waiting = sorted(hashed, key=lambda r: (sum(p < r.h for p in where) % len(where), r.h, r.k is not None, r.k or 0, r.a))
+    n = len(waiting)
+    room = [-(-int(n * (1 + slack)) // shards) if slack else n // shards + (s < n % shards) for s in range(shards)]
+    shard_of, filled = [], [0] * shards
+    for hop in range(len(where)):
+        later = []
+        for r in waiting:
+            s = int(owner[(sum(p < r.h for p in where) + hop) % len(where)])
+            if filled[s] < room[s]:
+                shard_of.append((r.k, r.a, s, filled[s]))
+                filled[s] += 1
+            else:
+                later.append(r)
+        waiting = later
+    assert not waiting
+    assert sorted(shard_of, key=str) == sorted(((r.k, r.a, r.shard, r.slot) for r in got), key=str)
+
+
+def test_op3_columns_of_the_query(spark, tmp_path):
+    texts = ["", None, "gr\u00fcn", "a" * 100_000, "same", "same"]
+    df = spark.createDataFrame([(i % 5, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, shard string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op3_bounded_ring(spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == sorted((i % 5, size(t), crc(t)) for i, t in enumerate(texts))
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert all(r.slot == 0 for r in got) and len({r.shard for r in got}) == len(texts)
+
+
+def test_op8_equals_its_sql_twin(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    want = con.execute(f"select vec_id, n_links, component_id, kept from ({vectors.OP8_SQL})").fetchall()
+    got = vectors.op8_cover_tree_dedup(spark, SF).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
