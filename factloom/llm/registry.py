@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_event_chat": chat.OP4_SQL, "op7_bit_sliced_topk": vectors.OP7_SQL, "op8_cover_tree_dedup": vectors.OP8_SQL, "op12_prefix_trie": trie.OP12_SQL}
+    return {"op4_event_chat": chat.OP4_SQL, "op6_token_group_join": near.OP6_SQL, "op7_bit_sliced_topk": vectors.OP7_SQL, "op8_cover_tree_dedup": vectors.OP8_SQL, "op12_prefix_trie": trie.OP12_SQL}

@@ -330,3 +330,10 @@ def test_op8_equals_its_sql_twin(spark):
     want = con.execute(f"select vec_id, n_links, component_id, kept from ({vectors.OP8_SQL})").fetchall()
     got = vectors.op8_cover_tree_dedup(spark, SF).select("vec_id", "n_links", "component_id", "kept").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_op6_equals_its_sql_twin(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(f"select doc_id, n_shingles, component_id from ({near.OP6_SQL})").fetchall()
+    assert sorted(map(tuple, near.op6_token_group_join(spark, SF).select("doc_id", "n_shingles", "component_id").collect())) == sorted(want)
