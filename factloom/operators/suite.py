@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .pairs import DIRECT, MARGINS, capped, checkpointed, usable
+from .pairs import DIRECT, MARGINS, capped, stored, usable
 from .slots import rounded
 
 BITS = 56
@@ -44,11 +44,11 @@ def choose(values: DataFrame, keep, target: int, cap: int = CAP) -> DataFrame:
 
     Pairs are made up to a rank that should give some ``4 * target * cap`` of them; twice as far if that isn't enough.
     """
+    values = stored(values)
     n = values.groupBy("cell").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
     below = int(min(1.0, 4 * target * cap / max(n, 1)) * (1 << BITS)) or 1
     while True:
-        some = keep(low_pairs(values, below))
-        some = checkpointed(some)
+        some = stored(keep(low_pairs(values, below)))
         chosen = capped(some, "rank", target, cap)
         if below >= 1 << BITS or chosen.count() >= target:
             return chosen
@@ -67,14 +67,20 @@ def _winner(a: Column, b: Column) -> Column:
     return F.when(a > b, F.col("company_a")).otherwise(F.col("company_b"))
 
 
-def direct_cases(last: DataFrame, target: int, cap: int = CAP) -> DataFrame:
-    """One metric and year of two companies; last: (ticker, metric, year, value), the last value of each cell."""
+def direct_choice(last: DataFrame, target: int, cap: int = CAP) -> DataFrame:
+    """(metric, year, company_a, company_b, value_a, value_b, rank): the chosen pairs of one metric and year; equal values go."""
     v = usable(last).where(F.col("metric").isin(*DIRECT))
     v = v.select(F.struct("metric", "year").alias("cell"), "ticker", cell_hash(F.col("metric"), F.col("year").cast("string"), F.col("ticker")).alias("h"), F.col("value").alias("v"))
     p = choose(v, lambda p: p.where("a <> b"), target, cap)
-    a, b, m, y = F.col("a"), F.col("b"), F.col("cell.metric"), F.col("cell.year")
+    return p.select("cell.metric", "cell.year", "company_a", "company_b", F.col("a").alias("value_a"), F.col("b").alias("value_b"), "rank")
+
+
+def direct_cases(last: DataFrame, target: int, cap: int = CAP) -> DataFrame:
+    """One metric and year of two companies; last: (ticker, metric, year, value), the last value of each cell."""
+    p = direct_choice(last, target, cap)
+    a, b, m, y = F.col("value_a"), F.col("value_b"), F.col("metric"), F.col("year")
     slots = [("company_a_value", a), ("company_b_value", b), ("difference", F.abs(a - b))]
-    return p.select(*_case("L1_direct", "cross_company_direct_metric", "r14_l1_", F.concat(m, y.cast("string")), slots, F.array("a", "b"), {"metric": m, "year": y, "start_year": F.lit(None).cast("int"), "winner": _winner(a, b)}))
+    return p.select(*_case("L1_direct", "cross_company_direct_metric", "r14_l1_", F.concat(m, y.cast("string")), slots, F.array(a, b), {"metric": m, "year": y, "start_year": F.lit(None).cast("int"), "winner": _winner(a, b)}))
 
 
 def margin_cases(first: DataFrame, target: int, cap: int = CAP) -> DataFrame:
@@ -112,5 +118,6 @@ def growth_cases(first: DataFrame, target: int, cap: int = CAP, metric: str = "t
 
 def build(first: DataFrame, last: DataFrame, targets: dict[str, int] = TARGETS, cap: int = CAP) -> DataFrame:
     """All three levels: 40 direct, 30 margin and 10 growth comparisons, or what there is."""
+    first, last = stored(first), stored(last)
     levels = direct_cases(last, targets["L1_direct"], cap), margin_cases(first, targets["L2_derived"], cap), growth_cases(first, targets["L3_trend"], cap)
     return levels[0].unionByName(levels[1]).unionByName(levels[2])

@@ -47,7 +47,7 @@ SUITE_SQL = f"""WITH RECURSIVE {FACTS}, raw AS (SELECT ticker, metric, year, ord
 def _(spark, d):
     from ..operators import pairs
 
-    raw = fx.suite_facts(spark, d)
+    raw = pairs.stored(fx.suite_facts(spark, d))
     s = suite.build(pairs.first_value(raw), pairs.last_value(raw))
     return s.select("case_id", "level", "metric", "year", "start_year", "company_a", "company_b", F.col("target_slots.expected").alias("expected"), "source_fact_numbers", "winner")
 
