@@ -68,8 +68,11 @@ def _(spark, d):
 
 @query("w5_capped_pairs")
 def _(spark, d):
-    p = pairs.direct_pairs(pairs.last_value(fx.facts_raw(spark, d)))
-    return pairs.capped(p.withColumn("rank", F.sha2(F.concat_ws("|", "metric", "year", "company_a", "company_b").cast("binary"), 256)), "rank", 40, 8)
+    """The first 40 direct pairs in the hash order of the case suite, none of a company beyond 8; no cell is paired as a whole."""
+    from ..operators import suite
+
+    p = suite.direct_choice(pairs.last_value(fx.facts_raw(spark, d)), 40, 8)
+    return p.select("metric", "year", "company_a", "company_b", F.round(F.col("value_a") - F.col("value_b"), 4).alias("difference"), pairs.winner(), "rank")
 
 
 TOP_SQL = f"scored AS (SELECT case_id, ticker, slice, {QUALITY_SQL} AS quality FROM full_cases)"
