@@ -31,9 +31,14 @@ def variants(value: Column) -> Column:
     size = F.abs(value)
     short = lambda s: F.regexp_replace(s, r"\.?0+$", "")
     base, plain = short(F.format_string("%,.4f", size)), short(F.format_string("%.4f", size))
-    usual = F.array(base, plain, F.concat(F.lit("$"), base), F.concat(F.lit("$ "), base), F.concat(base, F.lit("%")))
-    negative = F.array(F.concat(F.lit("("), base, F.lit(")")), F.concat(F.lit("("), plain, F.lit(")")), F.concat(F.lit("$("), base, F.lit(")")), F.concat(F.lit("("), base, F.lit(")%")))
-    found = F.array_distinct(F.when(value < 0, F.concat(usual, negative)).otherwise(usual))
+
+    def spelt(x: Column) -> Column:
+        base, plain = x["base"], x["plain"]
+        usual = F.array(base, plain, F.concat(F.lit("$"), base), F.concat(F.lit("$ "), base), F.concat(base, F.lit("%")))
+        negative = F.array(F.concat(F.lit("("), base, F.lit(")")), F.concat(F.lit("("), plain, F.lit(")")), F.concat(F.lit("$("), base, F.lit(")")), F.concat(F.lit("("), base, F.lit(")%")))
+        return F.when(value < 0, F.concat(usual, negative)).otherwise(usual)
+
+    found = F.array_distinct(F.transform(F.array(F.struct(base.alias("base"), plain.alias("plain"))), spelt)[0])
     by_length = F.array_sort(F.transform(found, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
     return F.transform(by_length, lambda x: x["v"])
 
@@ -44,9 +49,16 @@ def exact_quote(evidence: Column, metric: Column, value: Column) -> Column:
     Of several places the first counts, and there the longest spelling.
     """
     name = F.concat(F.lit(r"\Q"), F.regexp_replace(F.trim(metric), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
-    tries = F.transform(variants(value), lambda v, i: F.struct(F.regexp_substr(evidence, F.concat(F.lit(r"(?is)"), name, F.lit(f".{{0,{REACH}}}?"), F.lit(r"\Q"), v, F.lit(r"\E"))).alias("q"), i.alias("i")))
-    placed = F.transform(F.filter(tries, lambda t: t["q"].isNotNull()), lambda t: F.struct(F.position(t["q"], evidence).alias("at"), t["i"].alias("i"), t["q"].alias("q")))
-    return F.when((F.coalesce(F.trim(metric), F.lit("")) != "") & evidence.isNotNull(), F.array_min(placed)["q"])
+
+    def find(x: Column) -> Column:
+        there = F.filter(variants(value), lambda v: F.contains(x["low"], F.lower(v)))  # the others can't match, and each pattern is one to compile
+        tries = F.transform(there, lambda v, i: F.struct(F.regexp_substr(evidence, F.concat(x["name"], v, F.lit(r"\E"))).alias("q"), i.alias("i")))
+        placed = F.transform(F.filter(tries, lambda t: t["q"].isNotNull()), lambda t: F.struct(F.position(t["q"], evidence).alias("at"), t["i"].alias("i"), t["q"].alias("q")))
+        return F.array_min(placed)["q"]
+
+    head = F.concat(F.lit(r"(?is)"), name, F.lit(f".{{0,{REACH}}}?"), F.lit(r"\Q"))
+    found = F.transform(F.array(F.struct(head.alias("name"), F.lower(evidence).alias("low"))), find)[0]
+    return F.when((F.coalesce(F.trim(metric), F.lit("")) != "") & evidence.isNotNull(), found)
 
 
 def repair_facts(facts: DataFrame, cases: DataFrame) -> DataFrame:
