@@ -24,15 +24,14 @@ def scale_of(words: Column) -> Column:
 def numbers(c: Column) -> Column:
     """array of (value, percent) of a text's numbers that aren't years; a scale word multiplies, parentheses negate."""
 
-    def read(raw: Column) -> Column:
-        t = F.lower(F.trim(raw))
+    def read(t: Column) -> Column:
         bare = F.regexp_replace(F.btrim(t, F.lit("()")), r"[$,%]|percent|millions?|billions?|thousands?", "")
         v = F.trim(bare).try_cast("double") * scale_of(t)
-        v = F.when(t.startswith("(") & t.endswith(")"), -v).otherwise(v)
+        v = v * F.when(t.startswith("(") & t.endswith(")"), -1).otherwise(1)
         return F.struct(v.alias("value"), (F.contains(t, F.lit("%")) | F.contains(t, F.lit("percent"))).alias("percent"))
 
     found = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NUMBER), F.lit(0)), lambda r: ~F.trim(r).rlike(ANY_YEAR))
-    return F.filter(F.transform(found, read), lambda n: n["value"].isNotNull())
+    return F.filter(F.transform(F.transform(found, lambda r: F.lower(F.trim(r))), read), lambda n: n["value"].isNotNull())
 
 
 def agrees(value: Column, unit: Column, percent: Column, n: Column) -> Column:
@@ -55,24 +54,20 @@ def matches(facts: DataFrame, answers: DataFrame) -> DataFrame:
     """(trace_id, fact_id, case_id, value_found, year_found, metric_found, entity_found, matched) of every fact and answer of a case.
 
     facts: (case_id, fact_id, metric, entity, year, value, unit); answers: (trace_id, case_id, text). A name is found
-    where 45 % of its words are: the words of facts meet those of answers by case and word, each word of an answer once,
-    so names are never compared with whole texts. A fact without a year, name or entity has that evidence; a match needs
+    where 45 % of its words are: an answer's distinct words are made once and go along with its text. A fact without a year, name or entity has that evidence; a match needs
     the value, the year, and the metric or the entity. A null text is empty.
     """
     f = facts.select("case_id", "fact_id", F.coalesce("metric", F.lit("")).alias("metric"), F.coalesce("entity", F.lit("")).alias("entity"), F.col("year").cast("string").alias("year"), "value", F.coalesce("unit", F.lit("")).alias("unit"))
     f = f.withColumn("m", name_words(F.col("metric"))).withColumn("e", name_words(F.col("entity")))
-    a = answers.select("trace_id", "case_id", F.coalesce("text", F.lit("")).alias("text"))
-    wanted = f.select("case_id", "fact_id", F.explode(F.array(F.struct(F.lit("m").alias("side"), F.col("m").alias("ws")), F.struct(F.lit("e").alias("side"), F.col("e").alias("ws")))).alias("x")).select("case_id", "fact_id", "x.side", F.explode("x.ws").alias("w"))
-    said = a.select("trace_id", "case_id", F.explode(name_words(F.col("text"))).alias("w"))
-    shared = said.join(wanted, ["case_id", "w"]).groupBy("trace_id", "case_id", "fact_id").agg(F.count_if(F.col("side") == "m").alias("hm"), F.count_if(F.col("side") == "e").alias("he"))
-    read = a.select("trace_id", "case_id", F.lower("text").alias("low"), numbers(F.col("text")).alias("ns"))
-    j = read.join(f, "case_id").join(shared, ["trace_id", "case_id", "fact_id"], "left")
+    text_ = F.coalesce("text", F.lit(""))
+    read = answers.select("trace_id", "case_id", F.lower(text_).alias("low"), numbers(text_).alias("ns"), name_words(text_).alias("ws"))
+    j = read.join(f, "case_id")
     percent = F.contains(F.lower("unit"), F.lit("percent"))
     value = F.exists("ns", lambda n: agrees(F.col("value"), F.col("unit"), percent, n))
     year = F.col("year").isNull() | F.contains("low", F.col("year"))
-    share = lambda hits, words: F.coalesce(hits, F.lit(0)) >= LEAST * F.greatest(F.size(words), F.lit(1))
-    metric = (F.size("m") == 0) | share(F.col("hm"), F.col("m"))
-    entity = (F.col("entity") == "") | F.contains("low", F.lower("entity")) | (F.size("e") == 0) | share(F.col("he"), F.col("e"))
+    share = lambda words: F.size(F.array_intersect(words, "ws")) >= LEAST * F.greatest(F.size(words), F.lit(1))
+    metric = (F.size("m") == 0) | share("m")
+    entity = (F.col("entity") == "") | F.contains("low", F.lower("entity")) | (F.size("e") == 0) | share("e")
     j = j.select("trace_id", "fact_id", "case_id", F.coalesce(value, F.lit(False)).alias("value_found"), F.coalesce(year, F.lit(True)).alias("year_found"), metric.alias("metric_found"), entity.alias("entity_found"))
     return j.withColumn("matched", F.col("value_found") & F.col("year_found") & (F.col("metric_found") | F.col("entity_found")))
 
