@@ -91,16 +91,18 @@ def fact_issues(facts: DataFrame, cases: DataFrame) -> DataFrame:
     facts: case_id, metric_raw, metric, year, value, unit, quote, role, derived, source; cases: case_id, question,
     expected_answer, evidence. Nulls count as empty texts, as no year, no value and false. Facts of no case go.
     """
-    f = facts.join(cases.select("case_id", or_empty("question").alias("_q"), or_empty("expected_answer").alias("_a"), or_empty("evidence").alias("_e")), "case_id")
+    q, a = or_empty("question"), or_empty("expected_answer")
+    c = cases.select("case_id", F.concat(q, F.lit(" "), a).alias("_qa"), or_empty("evidence").alias("_e"), words(F.concat(q, F.lit(" "), a)).alias("_w"), answer_numbers(a).alias("_n"))  # read once a case
+    f = facts.join(c, "case_id")
     quote, unit, raw = or_empty("quote"), or_empty("unit"), text.strip(or_empty("metric_raw"))
     names = F.lower(F.concat(raw, F.lit(" "), text.strip(or_empty("metric"))))
-    asked, year = F.concat("_q", F.lit(" "), F.col("_a")), F.col("year").cast("string")
-    wanted = F.arrays_overlap(words(asked), words(raw)) | F.coalesce(F.contains(asked, year), F.lit(False))
-    wanted = wanted | F.coalesce(F.array_contains(answer_numbers(F.col("_a")), F.round("value", 4)), F.lit(False))
+    year = F.col("year").cast("string")
+    wanted = F.arrays_overlap("_w", words(raw)) | F.coalesce(F.contains("_qa", year), F.lit(False))
+    wanted = wanted | F.coalesce(F.array_contains("_n", F.round("value", 4)), F.lit(False))
     yes = lambda c: F.coalesce(c, F.lit(False))
     header, per_share = has_any(names, HEADERS), (unit == "USD_per_share") & has_any(names, ("revenue", "premium", "sales"))
     old = yes(F.col("year") < 2000)
-    dated = yes(F.rlike("_e", F.concat(F.lit("(?i)" + OTHER_DATE), year, F.lit(r"\b"))))
+    dated = yes(F.contains("_e", year)) & yes(F.rlike("_e", F.concat(F.lit("(?i)" + OTHER_DATE), year, F.lit(r"\b"))))
     spread = yes(F.col("value") < 0) & F.rlike("_e", F.lit("(?i)" + PERCENT_RANGE))
     issues = [
         ("missing_evidence_quote", quote == ""),
@@ -119,7 +121,7 @@ def fact_issues(facts: DataFrame, cases: DataFrame) -> DataFrame:
         ("metric_header_phrase", header), ("usd_per_share_revenue_conflict", per_share), ("pre_2000_reporting_period", old), ("non_reporting_year_used_as_period", dated),
         ("negative_percentage_range_artifact", spread),
     ]
-    return f.withColumn("issues", codes(issues)).withColumn("artifacts", codes(artifacts)).where(F.size("issues") > 0).drop("_q", "_a", "_e")
+    return f.withColumn("issues", codes(issues)).withColumn("artifacts", codes(artifacts)).where(F.size("issues") > 0).drop("_qa", "_e", "_w", "_n")
 
 
 def formula_types(df: DataFrame, question: str, evidence: str, most: int = 600) -> DataFrame:
