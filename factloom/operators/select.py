@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import stored
+
 
 def top_per_key(df: DataFrame, key: str, order: list, per_key: int, n: int) -> DataFrame:
     """At most ``per_key`` rows of each key, then the first n; ``number`` is the place."""
@@ -145,3 +149,35 @@ def pools(candidates: DataFrame, priority: tuple[str, ...], least: float = 8.0,
     c = take(c, "demo", demos, [F.desc("facts"), F.desc("quality"), "source_id"], quotas["demo"], "ticker", quotas["per_ticker"])
     reason = F.when(F.col("facts") == 0, "no_parser_verified_required_facts").when(F.col("quality") < least, "quality_score_below_selection_threshold").otherwise("lower_score_or_duplicate")
     return c.select(*candidates.columns, F.coalesce("split", F.lit("rejected")).alias("split"), F.when(F.col("split").isNull(), reason).alias("reason"))
+
+
+#: Links of a case and a document that meet in one task.
+LINKS = 50_000
+
+
+def contexts(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """(case_id, sources, chars, context) of each case: its documents, the characters of their texts, and the hash of the texts in order of doc_id.
+
+    links: (case_id, doc_id), distinct; docs: (doc_id, t). Cases are dealt to groups of about LINKS links, and a text goes
+    to a group once, however many of its cases have it, not once for each link. Cases with the same documents are worked
+    out once. Null texts have no characters; a case with only such texts has neither characters nor hash.
+    """
+    lists = stored(links.join(docs.select("doc_id"), "doc_id").groupBy("case_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")))
+    sets = stored(lists.select("ids").distinct())
+    groups = max(1, -(-(sets.agg(F.sum(F.size("ids"))).first()[0] or 0) // LINKS))
+    sets = sets.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    needed = sets.select("g", F.explode("ids").alias("doc_id")).distinct().join(docs, "doc_id").select(F.col("g").alias("of"), "doc_id", "t")
+
+    def join(cases: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        of, out = {}, []
+        for i, t in zip(texts["doc_id"], texts["t"]):
+            if t is not None:
+                of.setdefault(i, []).append(t)
+        for ids in cases["ids"]:
+            ts = [t for i in dict.fromkeys(ids) for t in sorted(of.get(i, []))]
+            out.append((ids, sum(map(len, ts)) if ts else None, hashlib.sha256("\n".join(ts).encode()).hexdigest()[:16] if ts else None))
+        made = pd.DataFrame(out, columns=["ids", "chars", "context"])
+        return made.astype({"chars": "Int64"})
+
+    made = sets.groupBy("g").cogroup(needed.groupBy("of")).applyInPandas(join, "ids array<long>, chars long, context string")
+    return lists.join(made, "ids").select("case_id", F.size("ids").cast("long").alias("sources"), "chars", "context")
