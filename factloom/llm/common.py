@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,16 @@ BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python."""
+    """Bound the Arrow batches that go to Python; factloom.batchBytes, where it is set, is the bound of their bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("factloom.batchBytes", str(BATCH_BYTES)))
+
+
+def release() -> None:
+    """Give freed memory of this process back to the system: a worker is used again by other stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

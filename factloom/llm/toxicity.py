@@ -25,7 +25,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, table, tune
+from .common import release, stash, table, tune
 from .tokens import pieces
 
 #: Bound of the labelled rows a model is fitted on; of the plain ones among them that the ordinary dictionary is trained on, and of the windows drawn from each.
@@ -226,6 +226,7 @@ def drop_toxic(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
             k = b.schema.get_field_index("text")
             yield b.filter(pa.array([m.score(t or "") < at for t in b.column(k).to_pylist()], pa.bool_()))
         m.meter.cache.clear()  # the worker goes on to other stages
+        release()
 
     tune(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
