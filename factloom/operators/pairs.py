@@ -206,6 +206,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='factloom-')).rstrip('/')}/pairs-{uuid.uuid4().hex}"
 
 
+def local_path(uri: str) -> str:
+    """The path of a shared folder for what is read and written without Spark."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    if "://" in uri:
+        raise ValueError(f"{uri}: texts are stored in a shared folder that is mounted as a file system")
+    return uri
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: df is computed once and written to the shared folder."""
     path = shared_folder(df.sparkSession)

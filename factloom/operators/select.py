@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import stored
+from .pairs import local_path, shared_folder, stored
 
 
 def top_per_key(df: DataFrame, key: str, order: list, per_key: int, n: int) -> DataFrame:
@@ -151,33 +155,99 @@ def pools(candidates: DataFrame, priority: tuple[str, ...], least: float = 8.0,
     return c.select(*candidates.columns, F.coalesce("split", F.lit("rejected")).alias("split"), F.when(F.col("split").isNull(), reason).alias("reason"))
 
 
-#: Links of a case and a document that meet in one task.
-LINKS = 50_000
+#: Links of a case and a document that are worked on at once in a task.
+LINKS = 200_000
+
+
+def stored_texts(docs: DataFrame) -> tuple[str, list[tuple[str, int, int]]]:
+    """docs (doc_id, t) in a folder that all executors share, and its files (name, smallest and largest doc_id).
+
+    Each text is there once, in order of doc_id, then text: name.bin has the texts one after the other, name.npy the
+    doc_id, place in name.bin, bytes and characters of each (-1 for a null text). Files of a task that is run again have
+    another name. The folder needs to be mounted as a file system.
+    """
+    folder = local_path(shared_folder(docs.sparkSession))
+
+    def write(batches):
+        name, rows, at = uuid.uuid4().hex, [], 0
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/{name}.bin", "wb") as f:
+            for b in batches:
+                ids, t = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("t")
+                n = pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype("int64")
+                for x in t:
+                    if x.is_valid:
+                        f.write(x.as_buffer())
+                chars = pc.fill_null(pc.utf8_length(t), -1).to_numpy(zero_copy_only=False).astype("int64")
+                rows.append(np.stack([ids, at + np.cumsum(n) - n, n, chars]))
+                at += int(n.sum())
+        if rows and rows[0].size:
+            rows = np.concatenate(rows, axis=1)
+            np.save(f"{folder}/{name}.npy", rows)
+            yield pa.RecordBatch.from_pydict({"name": [name], "first": [int(rows[0, 0])], "last": [int(rows[0, -1])]})
+
+    d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "t").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+    files = d.mapInArrow(write, "name string, first long, last long").collect()  # a row a file
+    return folder, sorted(map(tuple, files), key=lambda x: x[1])
 
 
 def contexts(links: DataFrame, docs: DataFrame) -> DataFrame:
     """(case_id, sources, chars, context) of each case: its documents, the characters of their texts, and the hash of the texts in order of doc_id.
 
-    links: (case_id, doc_id), distinct; docs: (doc_id, t). Cases are dealt to groups of about LINKS links, and a text goes
-    to a group once, however many of its cases have it, not once for each link. Cases with the same documents are worked
+    links: (case_id, doc_id); docs: (doc_id, t). Texts are not sent to cases but read where they are stored, so disk grows
+    with links and texts, not with both at once. A task goes through the texts in order for about LINKS links at a time and
+    reads each that these have once, with a hash begun for each list of documents. Cases with the same documents are worked
     out once. Null texts have no characters; a case with only such texts has neither characters nor hash.
     """
-    lists = stored(links.join(docs.select("doc_id"), "doc_id").groupBy("case_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")))
-    sets = stored(lists.select("ids").distinct())
-    groups = max(1, -(-(sets.agg(F.sum(F.size("ids"))).first()[0] or 0) // LINKS))
-    sets = sets.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    needed = sets.select("g", F.explode("ids").alias("doc_id")).distinct().join(docs, "doc_id").select(F.col("g").alias("of"), "doc_id", "t")
-
-    def join(cases: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        of, out = {}, []
-        for i, t in zip(texts["doc_id"], texts["t"]):
-            if t is not None:
-                of.setdefault(i, []).append(t)
-        for ids in cases["ids"]:
-            ts = [t for i in dict.fromkeys(ids) for t in sorted(of.get(i, []))]
-            out.append((ids, sum(map(len, ts)) if ts else None, hashlib.sha256("\n".join(ts).encode()).hexdigest()[:16] if ts else None))
-        made = pd.DataFrame(out, columns=["ids", "chars", "context"])
-        return made.astype({"chars": "Int64"})
-
-    made = sets.groupBy("g").cogroup(needed.groupBy("of")).applyInPandas(join, "ids array<long>, chars long, context string")
-    return lists.join(made, "ids").select("case_id", F.size("ids").cast("long").alias("sources"), "chars", "context")
+    folder, files = stored_texts(docs)
+    lists = stored(links.groupBy("case_id").agg(F.sort_array(F.collect_set(F.col("doc_id").cast("long"))).alias("ids")))
+    most = LINKS
+
+    def work(lists_):
+        """(sources, chars, context) of each list of documents."""
+        sizes = [len(x) for x in lists_]
+        ids, case = np.concatenate([*lists_, np.empty(0, "int64")]).astype("int64"), np.repeat(np.arange(len(lists_)), sizes)
+        order = np.argsort(ids, kind="stable")
+        ids, case = ids[order], case[order]
+        sources, chars, hashes = [0] * len(sizes), [0] * len(sizes), [None] * len(sizes)
+        for name, first, last in files:
+            lo, hi = np.searchsorted(ids, first), np.searchsorted(ids, last, "right")
+            if lo == hi:
+                continue
+            has, place, size, length = np.load(f"{folder}/{name}.npy", mmap_mode="r")
+            docs_, begin = np.unique(ids[lo:hi], return_index=True)
+            ends = [*begin[1:], hi - lo]
+            with open(f"{folder}/{name}.bin", "rb") as f:
+                for of, to, b, e in zip(np.searchsorted(has, docs_), np.searchsorted(has, docs_, "right"), begin, ends):
+                    for k in range(of, to):
+                        n = int(length[k])
+                        if n >= 0:
+                            f.seek(int(place[k]))
+                            text = f.read(int(size[k]))
+                            next_ = b"\n" + text
+                        for c in case[lo + b : lo + e].tolist():
+                            sources[c] += 1
+                            if n >= 0:
+                                chars[c] += n
+                                if hashes[c] is None:
+                                    hashes[c] = hashlib.sha256(text)
+                                else:
+                                    hashes[c].update(next_)
+        return [(s, c if h else None, h.hexdigest()[:16] if h else None) for s, c, h in zip(sources, chars, hashes)]
+
+    def read(batches):
+        for b in batches:
+            column = b.column("ids")
+            begin = 0
+            ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+            while begin < len(column):
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+                part = column.slice(begin, end - begin)
+                made = work([x.values.to_numpy(zero_copy_only=False) for x in part])
+                cols = list(zip(*made))
+                yield pa.RecordBatch.from_arrays([part, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["ids", "sources", "chars", "context"])
+                begin = end
+
+    made = lists.select("ids").distinct().mapInArrow(read, "ids array<long>, sources long, chars long, context string")
+    return lists.join(made.where("sources > 0"), "ids").select("case_id", "sources", "chars", "context")

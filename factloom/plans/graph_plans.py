@@ -343,7 +343,7 @@ def _(spark, d):
 )
 def _(spark, d):
     n = fx.read(spark, d, "documents").agg(F.max("doc_id") + 1).first()[0] or 1
-    s = fx.read(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % n).alias("doc_id")).distinct()
+    s = fx.read(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % n).alias("doc_id"))
     return select.contexts(s, fx.read(spark, d, "documents").select("doc_id", F.left("text", F.lit(7000)).alias("t")))
 
 
